@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import media, secrets, url_filter
+from ledgerline.llm import decontaminate, media, mixing, quality, secrets, token_store, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_mix_sources": mixing.op2_mix_sources,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_media_columns": media.op4_media_columns,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_token_store": token_store.op6_token_store,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op2_mix_sources": mixing.ORACLE,
+}
