@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, media, mixing, quality, secrets, token_store, toxicity, url_filter
+from ledgerline.llm import decontaminate, media, mixing, ngram_join, quality, secrets, token_store, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media_columns": media.op4_media_columns,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_token_store": token_store.op6_token_store,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_quality": quality.op10_quality,
 }
