@@ -82,6 +82,13 @@ def mix(documents: DataFrame, source: str = "source", text: str = "text", key: s
     return rows.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select("_row.*", "n_copies", "copy", "rate", "shuffle_key")
 
 
+def copies(documents: DataFrame, **options) -> DataFrame:
+    """The copies of :func:`mix` with the documents' own columns only."""
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own"))
+    named = {options.pop(k, d): d for k, d in (("source", "source"), ("text", "text"), ("key", "doc_id"))}
+    return mix(whole.select("own", *[F.col("own")[c].alias(d) for c, d in named.items()]), **options).select("own.*")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "lang", "source", "n_copies", "copy", F.round("rate", 6).alias("rate"), "shuffle_key")

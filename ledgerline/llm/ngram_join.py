@@ -341,42 +341,64 @@ def across(groups: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFram
 def join(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``documents``: its identifier, n_shingles, class (the name of its shingle set), and
     component_id, the smallest identifier that it is connected with by links, itself included."""
+    named, per_set = joined(documents, text, key)
+    out = named.join(per_set, named.sid == per_set.class_id, "left")
+    own = F.when(F.col("sid").isNull(), F.col("_key")).otherwise(F.col("component_id"))
+    return out.select(F.col("_key").alias(key), "n_shingles", F.col("sid").alias("class"), own.alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents without near copies, and of each group of linked ones the row with the smallest identifier; of
+    several the one whose columns hash least. Columns are those of ``documents``."""
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    whole = documents.select(F.struct(*columns).alias("_row"), F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    named, per_set = joined(whole, "text", "doc_id")
+    # a row's rank needs no text: identifier, then hashes of its columns
+    rank = F.struct(F.col("_key").isNull().alias("no_key"), F.col("_key").alias("key"), F.col("_h").alias("h"))
+    kept = named.where("sid is not null").groupBy("sid").agg(F.min(rank).alias("best")).join(per_set, F.col("sid") == F.col("class_id"))
+    kept = kept.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("_k"), F.col("best.h").alias("_kh"))
+    rows = whole.withColumn("_h", F.xxhash64("text")).withColumn("_words", F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    stay = rows.where("_words").join(kept, rows.doc_id.eqNullSafe(kept._k) & (rows._h == kept._kh))
+    # rows that repeat identifier and text: the least of them, chosen by all columns
+    again = stay.groupBy("_k", "_kh").agg(F.min_by("_row", F.sha2(F.to_json("_row"), 256)).alias("_row"))
+    return rows.where(~F.col("_words")).select("_row.*").unionByName(again.select("_row.*"))
+
+
+def joined(documents: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (_key, sid, n_shingles, sketch, _h) of the documents, and (class_id, root, component_id) of every set."""
     spark = documents.sparkSession
     bound_batches(spark)
     rows = documents.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
-    named = rows.withColumn("_set", F.pandas_udf(_sets, SETS)("_text"))
+    sets = F.pandas_udf(_sets, SETS)
+    named = rows.withColumn("_set", sets("_text"))
     named = checkpoint(named.select("_key", F.col("_set.sid").alias("sid"), F.col("_set.n_shingles").alias("n_shingles"), F.col("_set.sketch").alias("sketch"), F.xxhash64("_text").alias("_h")))
-    classes = named.where("sid is not null").groupBy("sid").agg(
-        F.min("_key").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min(F.struct(F.col("_key"), F.col("_h"))).alias("_one"), F.count("*").alias("copies")
+    # any row of a set has its texts' shingles; nulls come first in a minimum, so the identifier is taken apart
+    classes = checkpoint(
+        named.where("sid is not null").groupBy("sid").agg(F.min("_key").alias("least"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), F.min("_h").alias("_h"))
     )
-    classes = checkpoint(classes)
     totals = named.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    sized = rows.withColumn("sid", F.pandas_udf(_sets, SETS)("_text")["sid"]).where("sid is not null")
+    sized = rows.withColumn("sid", sets("_text")["sid"]).where("sid is not null")
     frequent = frequent_shingles(rows, totals[0])
     buckets = max(8, -(-totals[1] // BUCKET_SHINGLES) * 2)
     found = checkpoint(candidate_rows(sized.select("sid", "_text"), frequent, int(buckets)))
-    pairs = found.where("key is null").select("a", "b").distinct()
-    near = checkpoint(near_by_sketch(pairs, classes))
+    near = checkpoint(near_by_sketch(found.where("key is null").select("a", "b").distinct(), classes))
     groups = found.where("key is not null").select("key", "a")
-    some_groups = not groups.isEmpty()
-    # texts of the sets that pairs name, once per set
-    def texts_of(p: DataFrame) -> DataFrame:
-        wanted = p.select(F.col("a").alias("sid")).union(p.select("b")).distinct()
-        one = classes.join(wanted, "sid").select("sid", F.col("_one._key").alias("_key"), F.col("_one._h").alias("_h"))
-        keyed = rows.withColumn("_h", F.xxhash64("_text"))
-        return keyed.join(one, keyed._key.eqNullSafe(one._key) & (keyed._h == one._h)).select("sid", "_text").dropDuplicates(["sid"])
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """A text of every set that pairs name."""
+        wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        one = classes.join(wanted, "sid").select("sid", F.col("_h").alias("_one"))
+        return rows.join(one, F.xxhash64("_text") == F.col("_one")).select("sid", "_text").dropDuplicates(["sid"])
 
     links = checkpoint(verified(near, checkpoint(texts_of(near))))
     roots = components(links)
-    if some_groups:
+    if not groups.isEmpty():
         more = checkpoint(across(groups, roots, classes.select("sid", "n_shingles", "sketch")))
         if not more.isEmpty():
             roots = components(links.union(verified(more, checkpoint(texts_of(more)))))
     rooted = classes.select("sid", "least").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_set = rooted.join(names, "root").select(F.col("sid").alias("class_id"), "component_id")
-    out = named.join(per_set, named.sid == per_set.class_id, "left")
-    return out.select(F.col("_key").alias(key), "n_shingles", F.col("sid").alias("class"), F.when(F.col("sid").isNull(), F.col("_key")).otherwise(F.col("component_id")).alias("component_id"))
+    return named, rooted.join(names, "root").select(F.col("sid").alias("class_id"), "root", "component_id")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

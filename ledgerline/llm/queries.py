@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, media, mixing, ngram_join, quality, secrets, token_store, toxicity, url_filter
+from ledgerline.llm import decontaminate, html_extract, media, mixing, ngram_join, quality, secrets, token_store, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_store": token_store.op6_token_store,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_html_extraction": html_extract.op9_html_extraction,
     "op10_quality": quality.op10_quality,
 }
 
