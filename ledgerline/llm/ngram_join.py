@@ -153,8 +153,9 @@ def _sets(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
             own = s.shingles(t)
             rows.append((set_id(own) if len(own) else None, len(own), parity(own) if len(own) else None))
-        out = pd.DataFrame(rows, columns=["sid", "n_shingles", "sketch"])
-        yield out.astype({"sid": "Int64"})
+        sid, n, sketch = zip(*rows, strict=True) if rows else ((), (), ())
+        # never by way of floats, which would round the names
+        yield pd.DataFrame({"sid": pd.array(list(sid), dtype="Int64"), "n_shingles": n, "sketch": sketch})
 
 
 def frequent_shingles(texts: DataFrame, n_texts: int) -> np.ndarray:
