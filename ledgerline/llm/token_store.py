@@ -314,8 +314,9 @@ def read(manifest: DataFrame, digest: bool = False) -> DataFrame:
                 yield frame(out)
 
     def frame(out: list[tuple]) -> pd.DataFrame:
-        made = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
-        return made.astype({"doc_id": "Int64"})
+        ids, *rest = zip(*out, strict=True) if out else ((), (), (), ())
+        made = dict(zip(("start", "n_tokens", "ids_crc32" if digest else "ids"), rest, strict=True))
+        return pd.DataFrame({"doc_id": pd.array(list(ids), dtype="Int64"), **made})  # never by way of floats
 
     n = max(1, manifest.count())
     return manifest.select("path", "before").repartition(n).mapInPandas(scan, ENTRIES.replace("ids binary", "ids_crc32 long") if digest else ENTRIES)
