@@ -38,7 +38,7 @@ BLOCK_BYTES = 1 << 16
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
 #: Pieces whose ids a worker remembers; it forgets them all beyond that.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 #: Pieces of texts that are encoded together.
 FLUSH_PIECES = 200_000
 
