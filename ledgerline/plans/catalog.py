@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ledgerline.sources.tables import table
+from ledgerline.plans import change_queries, fact_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = change_queries.QUERIES | fact_queries.QUERIES | text_queries.QUERIES
+ORACLES: dict[str, str] = change_queries.ORACLES | fact_queries.ORACLES | text_queries.ORACLES
 FLAGSHIP = "distribution_two_dims"
