@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm._common import bound_batches, table
 
 #: Labelled rows that a model is fitted on, at most: the first by a hash of the identifier.
-MAX_LABELLED = 6000
+MAX_LABELLED = 4000
 THRESHOLD = 0.3
 FOLDS = 5
 #: Words that a worker remembers; it forgets them all beyond that.
@@ -76,25 +76,30 @@ def train(texts: list[str], labels: np.ndarray, bits: int = 17, dim: int = 8, ep
     if not len(texts) or len(set(labels.tolist())) < 2:
         return Model(np.zeros(slots, np.float32), 40.0 if len(labels) and labels[0] else -40.0 if len(labels) else 0.0)
     rng = np.random.default_rng(seed)
-    cut = [(t or "").split() for t in texts]
     number: dict[str, int] = {}
-    for words in cut:
-        for w in words:
-            number.setdefault(w, len(number))
-    which, slot = features(list(number), slots) if number else (np.zeros(0, np.int64),) * 2
-    slot = slot[np.argsort(which, kind="stable")].astype(np.int32)
-    many = np.bincount(which, minlength=len(number))
+    cut = []
+    for t in texts:
+        words = (t or "").split()
+        cut.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+    slot, many = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    every = list(number)
+    del number
+    for k in range(0, len(every), 20_000):
+        which, at = features(every[k : k + 20_000], slots)
+        slot.append(at[np.argsort(which, kind="stable")].astype(np.int32))
+        many.append(np.bincount(which, minlength=len(every[k : k + 20_000])))
+    del every
+    slot, many = np.concatenate(slot), np.concatenate(many)
     begin = np.cumsum(many) - many
     docs: list[tuple[np.ndarray, np.ndarray]] = []
-    for words in cut:
-        w = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    for w in cut:
         again = REPEAT_TIMES * int((w[1:] == w[:-1]).sum())
         # each word once, with how often it is there
         w, times = np.unique(w, return_counts=True)
         n = many[w]
         found = slot[np.repeat(begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         total = np.bincount(np.append(found, REPEAT), np.append(np.repeat(times, n), again))
-        at = np.flatnonzero(total)
+        at = np.flatnonzero(total).astype(np.int32)
         docs.append((at, (total[at] / (total.sum() + EMPTY)).astype(np.float32)))
     table_ = rng.uniform(-1 / dim, 1 / dim, (slots, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
