@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.plans import change_queries, fact_queries, text_queries
+from ledgerline.plans import change_queries, evidence_queries, fact_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = change_queries.QUERIES | fact_queries.QUERIES | text_queries.QUERIES
-ORACLES: dict[str, str] = change_queries.ORACLES | fact_queries.ORACLES | text_queries.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = change_queries.QUERIES | fact_queries.QUERIES | evidence_queries.QUERIES | text_queries.QUERIES
+ORACLES: dict[str, str] = change_queries.ORACLES | fact_queries.ORACLES | evidence_queries.ORACLES | text_queries.ORACLES
 FLAGSHIP = "distribution_two_dims"
