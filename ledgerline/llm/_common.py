@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that a checkpoint has made needless; it does so when both garbage
+    collectors have run."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def local_path(uri: str) -> str | None:
     """The plain path of a file: URI or a bare path; None for other stores."""
     if uri.startswith("file:"):
@@ -57,4 +65,4 @@ def remove_tree(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-__all__ = ["BATCH_ROWS", "table", "bound_batches", "shared_dir", "scratch", "checkpoint", "local_path", "remove_tree"]
+__all__ = ["BATCH_ROWS", "table", "bound_batches", "shared_dir", "scratch", "checkpoint", "local_path", "release", "remove_tree"]

@@ -13,8 +13,8 @@ either text in one global order, at least one is the same in both; ``b`` is at m
 these segments are joined. The order puts segments of only frequent shingles last, so that passages which many texts share are not
 joined on unless a text consists of little else.
 
-**Verification.** Candidate pairs are filtered by size and by fixed 512-bit parity sketches (bit-wise Hamming distance
-is again a lower bound of the symmetric difference); what is left is compared by whole shingle sets.
+**Verification.** Candidate pairs are filtered by size and by parity sketches of 1,024 to 32,768 bits, by size (bit-wise
+Hamming distance is again a lower bound of the symmetric difference); what is left is compared by whole shingle sets.
 
 **Large groups.** Exact copies are one set from the start. A segment that few sets share gives their pairs; one that many
 share gives a star first, and, once the links so far are joined into components, pairs of different components only,
@@ -33,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm._common import bound_batches, checkpoint, table
+from ledgerline.llm._common import bound_batches, checkpoint, release, table
 
 WIDTH = 5
 #: Similarity of at least NUMERATOR / DENOMINATOR.
@@ -49,9 +49,13 @@ SMALL_BAND, SMALL_SEGMENTS = 64, 1 << 16
 FEW = 12
 #: Sets of one large group that are compared with as many others at a time.
 GROUP_BLOCK = 1024
+#: Rows of such a block that are compared at once.
+ROWS_AT_ONCE = 64
 #: Shingles that go to one bucket of the segment join, about.
 BUCKET_SHINGLES = 1_000_000
-SKETCH_WORDS = 8
+#: Sizes up to which a parity sketch has so many 64-bit words; larger sets have the last. Each divides the next, so that a
+#: longer sketch folds (by XOR) into a shorter one of the same set.
+SKETCHES = ((256, 16), (2048, 64), (None, 512))
 CACHE_WORDS = 500_000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -60,6 +64,10 @@ GOLD = np.uint64(0x9E3779B97F4A7C15)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Candidate pairs that are verified first for each text, and for each pair of components.
+FIRST_TRIES = 4
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * M1
@@ -67,15 +75,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Hashes(dict):
+    """64-bit hashes of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return h
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of the word shingles of texts."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def _hash(self, word: bytes) -> int:
-        h = self.known[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
+        self.known = Hashes()
 
     def shingles(self, text: str | None) -> np.ndarray:
         words = text.encode().translate(LOWER).split() if text else []
@@ -83,13 +95,14 @@ class Shingler:
             return np.zeros(0, np.uint64)
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known, new = self.known, self._hash
-        h = np.fromiter((known[w] if w in known else new(w) for w in words), np.uint64, len(words))
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)) * GOLD
         n = min(WIDTH, len(words))
         out = np.full(len(words) - n + 1, n, dtype=np.uint64)
         for k in range(n):
-            out = mix(out * GOLD + h[k : k + len(out)])
-        return np.unique(out)
+            # one round of a multiply-and-rotate hash; the last step spreads what is left
+            out = (out ^ h[k : k + len(out)]) * M1
+            out ^= out >> np.uint64(29)
+        return np.unique(mix(out))
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -98,12 +111,18 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def parity(shingles: np.ndarray) -> list[int]:
-    """The set's 512-bit parity sketch, as signed numbers."""
-    bits = (shingles >> np.uint64(20)) % np.uint64(64 * SKETCH_WORDS)
-    odd = np.bincount(bits.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    """The set's parity sketch, as signed numbers."""
+    words = next(w for most, w in SKETCHES if most is None or len(shingles) <= most)
+    bits = (shingles >> np.uint64(20)) % np.uint64(64 * words)
+    odd = np.bincount(bits.astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The shorter sketch of the same set."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
 def most_apart(n: int, band: int) -> int:
     """The largest symmetric difference of a set of n shingles and one of the band that it is linked with."""
     return (n + min(n * DENOMINATOR // NUMERATOR, 2 * band - 1)) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
@@ -115,85 +134,78 @@ def bands(n: int) -> list[int]:
     return [own, own * 2] if n * DENOMINATOR >= own * 2 * NUMERATOR else [own]
 
 
-def segment_keys(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Keys of the segments by which a set is joined, over all its bands."""
-    n = len(shingles)
-    rare = np.ones(n, dtype=bool)
+def segment_keys(sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the set, key) of the segments by which sets are joined, over all their bands."""
+    which, band, need = [], [], []
+    for k, own in enumerate(sets):
+        for low in bands(len(own)) if len(own) else []:
+            apart = most_apart(len(own), low)
+            if apart:  # else only equal sets are linked
+                which.append(k)
+                band.append(low)
+                need.append(apart + 1)
+    if not which:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    # a part is a set in a band; its shingles, with the part's number, are sorted by segment all at once
+    band_, need_ = np.array(band, dtype=np.uint64), np.array(need)
+    size = np.array([len(sets[k]) for k in which])
+    flat = np.concatenate([sets[k] for k in which])
+    part = np.repeat(np.arange(len(which), dtype=np.uint64), size)
+    segments = np.where(band_ >= SMALL_BAND, 2 * band_, SMALL_SEGMENTS).astype(np.uint64)
+    place = part << np.uint64(40) | (flat >> np.uint64(8)) % np.repeat(segments, size)
+    order = np.argsort(place)
+    place, flat = place[order], flat[order]
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    key = np.bitwise_xor.reduceat(flat, first)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-        rare = frequent[at] != shingles
-    out = [np.zeros(0, np.uint64)]
-    for band in bands(n) if n else []:
-        need = most_apart(n, band) + 1
-        if need == 1:
-            continue  # only equal sets are linked
-        segments = 2 * band if band >= SMALL_BAND else SMALL_SEGMENTS
-        segment = (shingles >> np.uint64(8)) % np.uint64(segments)
-        order = np.argsort(segment, kind="stable")
-        used, first = np.unique(segment[order], return_index=True)
-        if len(used) < need:
-            raise ArithmeticError("more shingles share segments than their hashes allow")
-        key = np.bitwise_xor.reduceat(shingles[order], first)
-        own = np.logical_or.reduceat(rare[order], first)
-        key = mix(key ^ mix(used * GOLD + np.uint64(band)))
-        # the same content has the same class and key in every text, so this order is global
-        out.append(key[np.lexsort((key, ~own))[:need]])
-    return np.concatenate(out)
+        at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
+        common = np.logical_and.reduceat(frequent[at] == flat, first)
+    else:
+        common = np.zeros(len(first), dtype=bool)
+    part = (place[first] >> np.uint64(40)).astype(np.int64)
+    key = mix(key ^ mix((place[first] & np.uint64((1 << 40) - 1)) * GOLD + band_[part]))
+    if (np.bincount(part, minlength=len(which)) < need_).any():
+        raise ArithmeticError("more shingles share segments than their hashes allow")
+    # the same content has the same class and key in every text, so this order is global
+    order = np.lexsort((key, common, part))
+    part, key = part[order], key[order]
+    begin = np.searchsorted(part, np.arange(len(which)))
+    keep = np.arange(len(part)) - begin[part] < need_[part]
+    return np.array(which)[part[keep]], key[keep]
 
 
 # ---- passes over the texts -------------------------------------------------------------------------------------------
 
-SETS = "sid long, n_shingles long, sketch array<long>"
+SETS = "sid long, n_shingles long, sketch array<long>, often array<struct<h:long,n:long>>"
 
 
 def _sets(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Every text's set; and with the first row of a batch, the shingles that several of its texts have."""
     s = Shingler()
     for texts in parts:
-        rows = []
-        for t in texts:
-            own = s.shingles(t)
-            rows.append((set_id(own) if len(own) else None, len(own), parity(own) if len(own) else None))
-        sid, n, sketch = zip(*rows, strict=True) if rows else ((), (), ())
-        # never by way of floats, which would round the names
-        yield pd.DataFrame({"sid": pd.array(list(sid), dtype="Int64"), "n_shingles": n, "sketch": sketch})
-
-
-def frequent_shingles(texts: DataFrame, n_texts: int) -> np.ndarray:
-    """Shingles that at least a share FREQUENT of the texts have. A task reports those that are as frequent among its own
-    batches; each is counted wherever it is, and the sums decide. Which they are only orders segments: results do not
-    depend on it."""
-    least = max(8, int(n_texts * FREQUENT))
-
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = Shingler()
-        held: list[np.ndarray] = []
-        size = docs = 0
-
-        def told() -> pd.DataFrame:
-            every, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(3, int(docs * FREQUENT))
-            return pd.DataFrame({"h": every[often].view(np.int64), "n": n[often]})
-
-        for part in parts:
-            for t in part["text"]:
-                held.append(s.shingles(t))
-                size += len(held[-1])
-                docs += 1
-                if size > 3_000_000:
-                    yield told()
-                    held, size, docs = [], 0, 0
-        if held:
-            yield told()
-
-    found = texts.select(F.col("_text").alias("text")).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return np.sort(found.where(F.col("n") >= least).select("h").toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64))
-
-
-def candidate_rows(sets: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+        sets = [s.shingles(t) for t in texts]
+        often: list = [[] for _ in sets]
+        if sets:
+            every, n = np.unique(np.concatenate(sets), return_counts=True)
+            often[0] = [{"h": h, "n": k} for h, k in zip(every[n >= 3].view(np.int64).tolist(), n[n >= 3].tolist(), strict=True)]
+        # names never pass through floats, which would round them
+        sid = pd.array([set_id(x) if len(x) else None for x in sets], dtype="Int64")
+        yield pd.DataFrame({"sid": sid, "n_shingles": [len(x) for x in sets], "sketch": [parity(x) if len(x) else None for x in sets], "often": often})
+
+
+def frequent_shingles(named: DataFrame, n_texts: int) -> np.ndarray:
+    """Shingles that at least a share FREQUENT of the texts have, by what the batches told: each of their texts is
+    counted, but for shingles that fewer than three texts of a batch share. Which shingles they are only orders segments:
+    results do not depend on it."""
+    counts = named.where(F.size("often") > 0).select(F.explode("often").alias("o")).groupBy("o.h").agg(F.sum("o.n").alias("n"))
+    found = counts.where(F.col("n") >= max(8, int(n_texts * FREQUENT))).select("h").toPandas()
+    return np.sort(found["h"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def candidate_rows(texts: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
     """Of each segment that several sets share: pairs (a < b), or, where they are many, star pairs and the group's members
     (key, and the set in ``a``; ``key`` is null in pairs)."""
-    spark = sets.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Shingler()
@@ -215,15 +227,21 @@ def candidate_rows(sets: DataFrame, frequent: np.ndarray, buckets: int) -> DataF
             return pd.DataFrame({"bucket": which.astype(np.int64), "keys": cut(key), "sids": cut(sid)})
 
         for part in parts:
-            for sid, t in zip(part["sid"], part["text"], strict=True):
-                own = s.shingles(t)
-                found = segment_keys(own, shared.value)
-                keys.append(found)
-                sids.append(np.full(len(found), sid, dtype=np.int64))
-                held += len(found)
-                if held > 1_000_000:
-                    yield dealt()
-                    keys, sids, held = [], [], 0
+            sets: list[np.ndarray] = []
+            size = 0
+            for k, t in enumerate(part["text"]):
+                sets.append(s.shingles(t))
+                size += len(sets[-1])
+                if size > 500_000 or k + 1 == len(part):
+                    names = np.array([set_id(x) for x in sets], dtype=np.int64)
+                    which, found = segment_keys(sets, shared.value)
+                    keys.append(found)
+                    sids.append(names[which])
+                    held += len(found)
+                    sets, size = [], 0
+            if held > 1_000_000:
+                yield dealt()
+                keys, sids, held = [], [], 0
         if held:
             yield dealt()
 
@@ -256,7 +274,7 @@ def candidate_rows(sets: DataFrame, frequent: np.ndarray, buckets: int) -> DataF
             left = pd.concat([left, pd.DataFrame({"key": pd.array(key[member].view(np.int64), dtype="Int64"), "a": sid[member], "b": 0})])
         return left
 
-    dealt = sets.select("sid", F.col("_text").alias("text")).mapInPandas(deal, "bucket long, keys binary, sids binary")
+    dealt = texts.select(F.col("_text").alias("text")).mapInPandas(deal, "bucket long, keys binary, sids binary")
     return dealt.groupBy("bucket").applyInPandas(join, "key long, a long, b long")
 
 
@@ -264,14 +282,22 @@ def candidate_rows(sets: DataFrame, frequent: np.ndarray, buckets: int) -> DataF
 
 
 def near_by_sketch(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose sizes and parity sketches allow a link."""
+    """Those pairs (a, b) whose sizes and parity sketches allow a link, with the sketches' distance (apart)."""
     left = sketches.select(F.col("sid").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
     right = sketches.select(F.col("sid").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
-    apart = sum((F.bit_count(F.col("s_a")[k].bitwiseXOR(F.col("s_b")[k])) for k in range(SKETCH_WORDS)), F.lit(0))
-    both = pairs.join(left, "a").join(right, "b")
+    words = F.least(F.size("s_a"), F.size("s_b"))
+    slots = F.sequence(F.lit(0), words - 1)
+
+    def folded(c: str) -> Column:
+        parts = F.sequence(F.lit(0), (F.size(c) / words).cast("int") - 1)
+        xor = lambda k: F.aggregate(parts, F.lit(0).cast("long"), lambda acc, j: acc.bitwiseXOR(F.get(F.col(c), k + j * words)))
+        return F.when(F.size(c) == words, F.col(c)).otherwise(F.transform(slots, xor))
+
+    apart = F.aggregate(F.zip_with(folded("s_a"), folded("s_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    both = pairs.join(left, "a").join(right, "b").withColumn("apart", apart)
     sizes = F.least("n_a", "n_b") * DENOMINATOR >= F.greatest("n_a", "n_b") * NUMERATOR
     total = DENOMINATOR + NUMERATOR
-    return both.where(sizes & (apart * total <= (F.col("n_a") + F.col("n_b")) * (DENOMINATOR - NUMERATOR))).select("a", "b")
+    return both.where(sizes & (F.col("apart") * total <= (F.col("n_a") + F.col("n_b")) * (DENOMINATOR - NUMERATOR))).select("a", "b", "apart")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -279,10 +305,18 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def similar(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         s = Shingler()
+        last: dict[int, tuple[str, np.ndarray]] = {}
+
+        def of(side: int, text: str) -> np.ndarray:
+            # joins bring the pairs of a text together
+            if side not in last or last[side][0] != text:
+                last[side] = text, s.shingles(text)
+            return last[side][1]
+
         for left, right in parts:
             ok = []
             for x, y in zip(left, right, strict=True):
-                a, b = s.shingles(x), s.shingles(y)
+                a, b = of(0, x), of(1, y)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 ok.append(both * DENOMINATOR >= (len(a) + len(b) - both) * NUMERATOR)
             yield pd.Series(ok, dtype=bool)
@@ -309,6 +343,13 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
+def rooted_pairs(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs with the roots of both sets; a set without links is its own."""
+    of = lambda c: roots.select(F.col("sid").alias(c), F.col("root").alias(f"root_{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.withColumn("root_a", F.coalesce("root_a", "a")).withColumn("root_b", F.coalesce("root_b", "b"))
+
+
 def across(groups: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs of large groups' members in different components whose sketches allow a link, by blocks of each group."""
     rooted = groups.join(roots, groups.a == roots.sid, "left").select("key", F.col("a").alias("sid"), F.coalesce("root", "a").alias("root"))
@@ -321,22 +362,33 @@ def across(groups: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFram
     open_ = open_.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        sk = np.array(part["sketch"].tolist(), dtype=np.int64).view(np.uint64)
+        least = SKETCHES[0][1]
+        whole = [np.asarray(x, dtype=np.int64).view(np.uint64) for x in part["sketch"]]
+        half = np.array([fold(x, least) for x in whole])
+        short = np.bitwise_xor.reduce(half.reshape(len(half), -1, 4), axis=1)
         n, root, sid, own = (part[c].to_numpy() for c in ("n_shingles", "root", "sid", "own"))
-        out = []
-        for i in range(len(part)):
-            rest = slice(i + 1, None)
-            least, greatest = np.minimum(n[i], n[rest]), np.maximum(n[i], n[rest])
-            fit = (root[rest] != root[i]) & (least * DENOMINATOR >= greatest * NUMERATOR)
-            if part["x"].iat[0] != part["y"].iat[0]:
-                fit &= own[rest] != own[i]
-            at = np.flatnonzero(fit) + i + 1
-            apart = np.bitwise_count(sk[at] ^ sk[i]).sum(axis=1, dtype=np.int64)
-            at = at[apart * (DENOMINATOR + NUMERATOR) <= (n[at] + n[i]) * (DENOMINATOR - NUMERATOR)]
-            out.append(np.stack([np.minimum(sid[at], sid[i]), np.maximum(sid[at], sid[i])], axis=1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
-
-    return open_.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+        near = lambda apart, at, i: apart * (DENOMINATOR + NUMERATOR) <= (n[at] + n[i]) * (DENOMINATOR - NUMERATOR)
+        two = part["x"].iat[0] != part["y"].iat[0]
+        out: list[tuple[int, int, int]] = []
+        every = np.arange(len(part))
+        for begin in range(0, len(part), ROWS_AT_ONCE):
+            i = every[begin : begin + ROWS_AT_ONCE, None]
+            fit = (every > i) & (root != root[i]) & (np.minimum(n, n[i]) * DENOMINATOR >= np.maximum(n, n[i]) * NUMERATOR)
+            if two:
+                fit &= own != own[i]
+            a, b = np.nonzero(fit)
+            a += begin
+            for sk in (short, half):  # the short sketch tells most pairs apart
+                keep = near(np.bitwise_count(sk[a] ^ sk[b]).sum(axis=1, dtype=np.int64), a, b)
+                a, b = a[keep], b[keep]
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                words = min(len(whole[x]), len(whole[y]))
+                apart = int(np.bitwise_count(fold(whole[x], words) ^ fold(whole[y], words)).sum())
+                if near(apart, x, y):
+                    out.append((min(sid[x], sid[y]), max(sid[x], sid[y]), apart))
+        return pd.DataFrame(np.array(out, dtype=np.int64).reshape(-1, 3), columns=["a", "b", "apart"])
+
+    return open_.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long, apart long").distinct()
 
 
 def join(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -370,20 +422,19 @@ def joined(documents: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFr
     spark = documents.sparkSession
     bound_batches(spark)
     rows = documents.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
-    sets = F.pandas_udf(_sets, SETS)
-    named = rows.withColumn("_set", sets("_text"))
-    named = checkpoint(named.select("_key", F.col("_set.sid").alias("sid"), F.col("_set.n_shingles").alias("n_shingles"), F.col("_set.sketch").alias("sketch"), F.xxhash64("_text").alias("_h")))
-    # any row of a set has its texts' shingles; nulls come first in a minimum, so the identifier is taken apart
+    named = rows.withColumn("_set", F.pandas_udf(_sets, SETS)("_text"))
+    named = checkpoint(named.select("_key", "_set.*", F.xxhash64("_text").alias("_h")))
+    totals = named.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    frequent = frequent_shingles(named, totals[0])
+    named = named.drop("often")
+    # any row of a set has its text's shingles
     classes = checkpoint(
         named.where("sid is not null").groupBy("sid").agg(F.min("_key").alias("least"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), F.min("_h").alias("_h"))
     )
-    totals = named.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    sized = rows.withColumn("sid", sets("_text")["sid"]).where("sid is not null")
-    frequent = frequent_shingles(rows, totals[0])
     buckets = max(8, -(-totals[1] // BUCKET_SHINGLES) * 2)
-    found = checkpoint(candidate_rows(sized.select("sid", "_text"), frequent, int(buckets)))
+    found = checkpoint(candidate_rows(rows.where("_text is not null"), frequent, int(buckets)))
+    release(spark)
     near = checkpoint(near_by_sketch(found.where("key is null").select("a", "b").distinct(), classes))
-    groups = found.where("key is not null").select("key", "a")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         """A text of every set that pairs name."""
@@ -391,12 +442,36 @@ def joined(documents: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFr
         one = classes.join(wanted, "sid").select("sid", F.col("_h").alias("_one"))
         return rows.join(one, F.xxhash64("_text") == F.col("_one")).select("sid", "_text").dropDuplicates(["sid"])
 
-    links = checkpoint(verified(near, checkpoint(texts_of(near))))
-    roots = components(links)
+    def linked(pairs: DataFrame, known: DataFrame | None, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Links that, with the known ones, give the components that all of the pairs' links would give, and those
+        components: the pairs that are least apart are tried first, and pairs within a component that this gives are not
+        verified."""
+        rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("apart", "a", "b"))
+        if known is None:
+            first = pairs.withColumn("_r", rank("b")).where("_r = 1")
+        else:
+            between = rooted_pairs(pairs, roots).where("root_a <> root_b").withColumns({"low": F.least("root_a", "root_b"), "high": F.greatest("root_a", "root_b")})
+            first = between.withColumn("_r", rank("low", "high")).where(F.col("_r") <= FIRST_TRIES)
+        first = checkpoint(first.select("a", "b"))
+        texts = checkpoint(texts_of(pairs))
+        release(spark)
+        links = verified(first, texts)
+        links = checkpoint(links if known is None else known.union(links))
+        roots = components(links)
+        rest = checkpoint(rooted_pairs(pairs, roots).where("root_a <> root_b").select("a", "b").join(first, ["a", "b"], "left_anti"))
+        more = checkpoint(verified(rest, texts))
+        release(spark)
+        if more.isEmpty():
+            return links, roots
+        links = checkpoint(links.union(more))
+        return links, components(links)
+
+    links, roots = linked(near, None, None)
+    groups = found.where("key is not null").select("key", "a")
     if not groups.isEmpty():
         more = checkpoint(across(groups, roots, classes.select("sid", "n_shingles", "sketch")))
         if not more.isEmpty():
-            roots = components(links.union(verified(more, checkpoint(texts_of(more)))))
+            links, roots = linked(more, links, roots)
     rooted = classes.select("sid", "least").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return named, rooted.join(names, "root").select(F.col("sid").alias("class_id"), "root", "component_id")
