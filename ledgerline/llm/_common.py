@@ -44,6 +44,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stash(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """The frame as a written table in the shared folder, and its path. In loops this is used in place of checkpoint(),
+    whose frames carry the constraints of all rounds before and fill the driver's memory."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of plans that a checkpoint has made needless; it does so when both garbage
     collectors have run."""
@@ -65,4 +73,4 @@ def remove_tree(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-__all__ = ["BATCH_ROWS", "table", "bound_batches", "shared_dir", "scratch", "checkpoint", "local_path", "release", "remove_tree"]
+__all__ = ["BATCH_ROWS", "table", "bound_batches", "shared_dir", "scratch", "stash", "checkpoint", "local_path", "release", "remove_tree"]

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm._common import bound_batches, checkpoint, release, table
+from ledgerline.llm._common import bound_batches, checkpoint, release, remove_tree, stash, table
 
 WIDTH = 5
 #: Similarity of at least NUMERATOR / DENOMINATOR.
@@ -329,17 +329,20 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(sid, root) of every set with a link, where root is the least sid it is connected to: every set takes the least
     root around it, then its root's root, until nothing changes."""
-    edges = checkpoint(links.union(links.select("b", "a")).distinct())
-    roots = checkpoint(edges.groupBy(F.col("a").alias("sid")).agg(F.least(F.col("sid"), F.min("b")).alias("root")))
+    spark = links.sparkSession
+    edges, edges_at = stash(links.union(links.select("b", "a")).distinct(), "edges")
+    roots, roots_at = stash(edges.groupBy(F.col("a").alias("sid")).agg(F.least(F.col("sid"), F.min("b")).alias("root")), "roots")
     while True:
         around = edges.join(roots, edges.b == roots.sid).groupBy("a").agg(F.min("root").alias("seen"))
         lower = roots.join(around, roots.sid == around.a).select("sid", F.col("root").alias("old"), F.least("root", "seen").alias("root"))
         # a root's root; roots are sets themselves
         up = roots.select(F.col("sid").alias("r"), F.col("root").alias("up"))
-        new = checkpoint(lower.join(up, lower.root == up.r).select("sid", "old", F.least("root", "up").alias("root")))
+        new, new_at = stash(lower.join(up, lower.root == up.r).select("sid", "old", F.least("root", "up").alias("root")), "roots")
+        remove_tree(spark, roots_at)
         done = new.where("old != root").isEmpty()
-        roots = new.select("sid", "root")
+        roots, roots_at = new.select("sid", "root"), new_at
         if done:
+            remove_tree(spark, edges_at)
             return roots
 
 
