@@ -3,7 +3,8 @@
 A word's features are the word itself and its character n-grams, hashed into a table of embeddings; a word that repeats
 the one before it adds the feature ``REPEAT``. A document is the mean of the embeddings of all features, ``EMPTY`` blank
 ones included, so that a few words do not decide alone. As the softmax is linear in that mean, scoring needs one number
-and one count per word, which workers remember, so whole texts of any length are read once.
+and one count per word, which workers remember, so whole texts of any length are read once. Long words, such as texts
+without spaces, hardly come again: their n-grams are counted in pieces where they are, and not remembered.
 
 Defined results. A null or empty text has no features and gets the score of the bias alone (as do blank features). Null labels and labels of
 unknown documents teach nothing; with labels of one class only, or none, every score is 1 or the prior 0.5. Repeated
@@ -30,8 +31,10 @@ THRESHOLD = 0.3
 FOLDS = 5
 #: Words that a worker remembers; it forgets them all beyond that.
 CACHE_WORDS = 500_000
-#: n-grams are taken of a word's first so many characters; the whole word is a feature in any case.
-LOW, HIGH, LONG_WORD = 2, 4, 64
+#: Lengths of n-grams, which are taken of whole words.
+LOW, HIGH = 2, 4
+#: Words of more characters are not remembered, and read so many bytes at a time; results do not depend on either.
+REMEMBERED, PIECE = 64, 1 << 16
 #: Feature of a word that follows itself, as often as a short word has features; blank features of every document.
 REPEAT, REPEAT_TIMES, EMPTY = 0, 10, 150
 
@@ -44,7 +47,7 @@ def held_out(doc_id: Column) -> Column:
 def features(words: list[str], slots: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the word, slot) of every feature of the words: itself, and the n-grams of its bytes between < and >."""
     own = slots - 1  # slot 0 is REPEAT
-    data = [f"<{w[:LONG_WORD]}>".encode() for w in words]
+    data = [f"<{w}>".encode() for w in words]
     lengths = np.array([len(d) for d in data], dtype=np.int64)
     flat = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
     word = np.repeat(np.arange(len(words)), lengths)
@@ -53,15 +56,31 @@ def features(words: list[str], slots: int) -> tuple[np.ndarray, np.ndarray]:
     at = [np.array([zlib.crc32(w.encode()) for w in words], dtype=np.int64) % own + 1]
     for n in range(LOW, HIGH + 1):
         fit = np.flatnonzero(left >= n)
-        gram = np.full(len(fit), n, dtype=np.uint64)
-        for k in range(n):
-            gram = gram << np.uint64(8) | flat[fit + k]
-        mixed = gram * np.uint64(0x9E3779B97F4A7C15)
         which.append(word[fit])
-        at.append(((mixed >> np.uint64(33)) % np.uint64(own)).astype(np.int64) + 1)
+        at.append(gram_slots(flat, fit, n, own))
     return np.concatenate(which), np.concatenate(at)
 
 
+def gram_slots(flat: np.ndarray, begin: np.ndarray, n: int, own: int) -> np.ndarray:
+    """Slots of the n-grams of bytes that begin at these places."""
+    gram = np.full(len(begin), n, dtype=np.uint64)
+    for k in range(n):
+        gram = gram << np.uint64(8) | flat[begin + k]
+    mixed = gram * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(33)) % np.uint64(own)).astype(np.int64) + 1
+
+
+def long_features(word: str, slots: int) -> Iterator[np.ndarray]:
+    """The slots of all features of one word, as features() has them, in pieces of bounded size."""
+    own = slots - 1
+    yield np.array([zlib.crc32(word.encode()) % own + 1])
+    data = np.frombuffer(f"<{word}>".encode(), np.uint8)
+    for begin in range(0, len(data), PIECE):
+        for n in range(LOW, HIGH + 1):
+            flat = data[begin : begin + PIECE + n - 1].astype(np.uint64)
+            yield gram_slots(flat, np.arange(max(0, len(flat) - n + 1)), n, own)
+
+
 @dataclass(frozen=True)
 class Model:
     """What scoring needs of the embeddings: each slot's embedding times the difference of the output weights."""
@@ -84,8 +103,13 @@ def train(texts: list[str], labels: np.ndarray, bits: int = 17, dim: int = 8, ep
     slot, many = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     every = list(number)
     del number
+    long = {i: w for i, w in enumerate(every) if len(w) > REMEMBERED}
+    is_long = np.zeros(len(every), dtype=bool)
+    is_long[list(long)] = True
     for k in range(0, len(every), 20_000):
-        which, at = features(every[k : k + 20_000], slots)
+        short = np.flatnonzero(~is_long[k : k + 20_000])
+        which, at = features([every[k + i] for i in short], slots)
+        which = short[which]
         slot.append(at[np.argsort(which, kind="stable")].astype(np.int32))
         many.append(np.bincount(which, minlength=len(every[k : k + 20_000])))
     del every
@@ -98,7 +122,10 @@ def train(texts: list[str], labels: np.ndarray, bits: int = 17, dim: int = 8, ep
         w, times = np.unique(w, return_counts=True)
         n = many[w]
         found = slot[np.repeat(begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        total = np.bincount(np.append(found, REPEAT), np.append(np.repeat(times, n), again))
+        total = np.bincount(np.append(found, REPEAT), np.append(np.repeat(times, n), again), slots)
+        for i, often in zip(w[is_long[w]].tolist(), times[is_long[w]].tolist(), strict=True):
+            for at in long_features(long[i], slots):
+                np.add.at(total, at, float(often))
         at = np.flatnonzero(total).astype(np.int32)
         docs.append((at, (total[at] / (total.sum() + EMPTY)).astype(np.float32)))
     table_ = rng.uniform(-1 / dim, 1 / dim, (slots, dim)).astype(np.float32)
@@ -136,28 +163,43 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
-        self.values: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+        self.values, self.counts = np.zeros(0), np.zeros(0, np.int64)
+
+    def _number(self, words: list[str]) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
 
     def _learn(self, words: list[str]) -> None:
         if words:
             which, at = features(words, len(self.model.slots))
-            self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-            self.values.append(np.bincount(which, self.model.slots[at], len(words)))
-            self.counts.append(np.bincount(which, minlength=len(words)))
+            self._number(words)
+            self.values = np.append(self.values, np.bincount(which, self.model.slots[at], len(words)))
+            self.counts = np.append(self.counts, np.bincount(which, minlength=len(words)))
+
+    def _long(self, word: str) -> tuple[float, int]:
+        value, count = 0.0, 0
+        for at in long_features(word, len(self.model.slots)):
+            value, count = value + float(self.model.slots[at].sum(dtype=np.float64)), count + len(at)
+        return value, count
 
     def scores(self, texts: pd.Series) -> np.ndarray:
         out = np.zeros(len(texts))
         if len(self.known) > CACHE_WORDS:
-            self.known, self.values, self.counts = {}, [], []
+            self.known, self.values, self.counts = {}, np.zeros(0), np.zeros(0, np.int64)
         rows = [(t or "").split() for t in texts]
-        self._learn([w for w in {w for row in rows for w in row} if w not in self.known])
-        self.values, self.counts = ([np.concatenate(x)] if x else [] for x in (self.values, self.counts))
+        new = [w for w in {w for row in rows for w in row} if w not in self.known]
+        self._learn([w for w in new if len(w) <= REMEMBERED])
+        # long words have numbers for these texts only
+        long = [w for w in new if len(w) > REMEMBERED]
+        self._number(long)
+        found = [self._long(w) for w in long]
+        values, counts = np.append(self.values, [v for v, _ in found]), np.append(self.counts, np.array([c for _, c in found], dtype=np.int64))
         for k, words in enumerate(rows):
             if words:
                 at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
                 again = REPEAT_TIMES * int((at[1:] == at[:-1]).sum())
-                out[k] = (self.values[0][at].sum() + again * float(self.model.slots[REPEAT])) / (self.counts[0][at].sum() + again + EMPTY)
+                out[k] = (values[at].sum() + again * float(self.model.slots[REPEAT])) / (counts[at].sum() + again + EMPTY)
+        for w in long:
+            del self.known[w]
         return 1 / (1 + np.exp(-np.clip(out + self.model.bias, -40, 40)))
 
 

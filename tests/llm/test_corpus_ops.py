@@ -172,6 +172,30 @@ def test_quality(spark):
     assert quality.good(docs, none).columns == docs.columns and quality.good(docs.limit(0), none).count() == 0
 
 
+def test_quality_reads_unspaced_texts_to_their_end(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    same = "文" * 64  # the texts differ only after it
+    unspaced = lambda letters, n=300: same + "".join(rng.choice(list(letters), n))
+    texts = [unspaced(x) for _ in range(60) for x in ("春夏秋冬", "甲乙丙丁")]
+    model = quality.train(texts, np.array([1, 0] * 60))
+    scores = quality.Scorer(model).scores(pd.Series([unspaced(x) for _ in range(30) for x in ("春夏秋冬", "甲乙丙丁")]))
+    assert scores[::2].min() > 0.6 and scores[1::2].max() < 0.4
+    # pieces have the features of the whole word
+    monkeypatch.setattr(quality, "PIECE", 7)
+    for w in ("春夏" * 50, "a" * 65, "abc" * 7):
+        pieces = np.concatenate(list(quality.long_features(w, 1 << 17)))
+        assert sorted(pieces.tolist()) == sorted(quality.features([w], 1 << 17)[1].tolist())
+    # long words among short ones, repeated and in several batches
+    scorer = quality.Scorer(model)
+    mixed = ["甲" * 70 + " b " + "甲" * 70 + " " + "甲" * 70, "b", None, "甲" * 70]
+    at = [np.concatenate([quality.features([w], len(model.slots))[1] for w in (t or "").split()] or [np.zeros(0, int)]) for t in mixed]
+    again = [quality.REPEAT_TIMES, 0, 0, 0]
+    want = [(model.slots[x].sum(dtype=float) + r * float(model.slots[quality.REPEAT])) / (len(x) + r + quality.EMPTY) for x, r in zip(at, again, strict=True)]
+    for _ in range(2):
+        assert scorer.scores(pd.Series(mixed)) == pytest.approx(1 / (1 + np.exp(-(np.array(want) + model.bias))))
+    assert set(scorer.known) == {"b"}
+
+
 def test_quality_does_not_see_held_out_labels(spark):
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{MIDDLE}/labels.parquet").select("doc_id", "quality")
