@@ -7,9 +7,9 @@ group. Aligning is associative enough to be done on parts: each task aligns its
 a host are aligned in two rounds, so a hot host never meets in one task as pages.
 
 A host's wrapper says where text varies and how much of it there is. Its content fields are the slots inside the article
-(or main, or content) element, else inside the element that holds most of the varying text; menus, headers, footers,
-sidebars, notices, adverts, forms and comments are no fields. Pages are then read by the fields of their host; a page
-that has none of them is read by the wrapper of itself.
+(or main, or content) element, else all slots of the page; menus, headers, footers, sidebars, notices, adverts, forms and
+comments are no fields. Of a host's only page all other text is a field. Pages are then read by the fields of their host; a page of another layout, of which these give
+less than half of what the page's own wrapper gives, is read by the latter.
 
 Defined results. A null or empty page has the text ''. A null url belongs to the host ''. Repeated rows each get their
 row. Tags that are never closed end with what holds them. Empty tables give empty tables. Extra columns pass through;
@@ -21,7 +21,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from html import unescape
 
@@ -44,8 +44,8 @@ ASIDE = frozenset("ad ads adverts advert advertisement banner cookie cookies con
 #: Words of class, id or role that name content.
 CONTENT = frozenset("article content main post entry story body text".split())
 LONGEST_SEQUENCE = 4
-#: Share of the varying text for which a single element is entered when none is named content.
-MOST = 0.6
+#: A page is read by its own wrapper if its host's fields give less than this share of what that gives.
+SMALL_PART = 0.5
 #: Wrappers that a task holds before it passes them on.
 HELD = 2000
 
@@ -115,14 +115,20 @@ def blocks(html: str | None) -> Iterator[tuple[str, str | None]]:
 
 
 # A wrapper's node is a list. Element: [kind, repeated, optional, children]. Text: ["#", optional, mark of the text or
-# None for a slot, characters]. Sequence of neighbours that repeats: ["()", True, optional, children].
+# None for a slot, characters]. Sequence of neighbours that repeats: ["()", True, optional, children]. A host's root is
+# ["", mark of a page, whether pages differ, children]; that of a page alone is ["", False, False, children].
 
 
 def tree(html: str | None) -> list:
     """A page's own wrapper."""
+    return grown(blocks(html))
+
+
+def grown(stream: Iterable[tuple[str, str | None]]) -> list:
+    """The wrapper of one page's token stream."""
     root: list = ["", False, False, []]
     stack = [root]
-    for kind, text in blocks(html):
+    for kind, text in stream:
         if kind == "#":
             stack[-1][3].append(["#", False, f"{zlib.crc32(text.encode()):x}.{len(text)}", len(text)])
         elif kind:
@@ -146,6 +152,13 @@ def aligned(a: list, b: list) -> list:
     return [a[0], a[1] or b[1], a[2] or b[2], together(a[3], b[3])]
 
 
+def host_aligned(a: list, b: list) -> list:
+    """The wrapper of two wrappers of a host."""
+    out = aligned(a, b)
+    out[1:3] = a[1], a[2] or b[2] or a[1] != b[1]
+    return out
+
+
 def optional(node: list) -> list:
     return ["#", True, *node[2:]] if node[0] == "#" else [node[0], node[1], True, node[3]]
 
@@ -217,9 +230,9 @@ def pattern(node: list) -> str:
     if node[0] == "#":
         inner, repeated, opt = "#text" if node[2] is None else "'text'", False, node[1]
     else:
-        inner, repeated, opt = " ".join(pattern(c) for c in node[3]), node[1], node[2]
+        inner, repeated, opt = " ".join(pattern(c) for c in node[3]), node[0] and node[1], node[0] and node[2]
         inner = inner if node[0] in ("", "()") else f"<{node[0]}> {inner} </>"
-    return f"({inner})" + "+" * repeated + "?" * opt if repeated or opt else inner
+    return f"({inner})" + "+" * bool(repeated) + "?" * opt if repeated or opt else inner
 
 
 def is_aside(kind: str, inside: bool) -> bool:
@@ -251,25 +264,14 @@ def fields(wrapper: list) -> list[str]:
     best = max((r for _, r, _, _ in found), default=0)
     if best:
         return sorted({p for p, r, _, _ in found if r == best})
-    varying = [(p, n) for p, _, n, constant in found if not constant] or [(p, n) for p, _, n, _ in found]
-    total, at = sum(n for _, n in varying), ""
-    while True:
-        below: dict[str, int] = {}
-        for p, n in varying:
-            if p.startswith(f"{at}/"):
-                step = at + "/" + p[len(at) + 1 :].split("/")[0]
-                below[step] = below.get(step, 0) + n
-        top = max(below, key=lambda k: (below[k], k), default=None)
-        if top is None or below[top] < MOST * total or not any(p.startswith(f"{top}/") for p, _ in varying):
-            break
-        at = top
-    return sorted({p for p, _ in varying if p == at or p.startswith(f"{at}/")})
-
-
-def read(html: str | None, wanted: set[str]) -> str:
+    # of a single page nothing tells what is constant
+    return sorted((wrapper[2] and {p for p, _, _, constant in found if not constant}) or {p for p, *_ in found})
+
+
+def read(stream: Iterable[tuple[str, str | None]], wanted: set[str]) -> str:
     """The blocks at the wanted paths, in page order."""
     path, out = [""], []
-    for kind, text in blocks(html):
+    for kind, text in stream:
         if kind == "#":
             if path[-1] in wanted:
                 out.append(text)
@@ -281,8 +283,15 @@ def read(html: str | None, wanted: set[str]) -> str:
 
 
 def main_text(html: str | None, wanted: set[str]) -> str:
-    """A page's text by its host's fields, or by those of the page alone where it has none of them."""
-    return read(html, wanted) or (read(html, set(fields(tree(html)))) if html else "")
+    """A page's text by its host's fields, or by those of the page alone where the host's give but a small part."""
+    if not html:
+        return ""
+    stream = list(blocks(html))
+    text = read(stream, wanted)
+    if len(text) >= SMALL_PART * sum(len(t) + 1 for kind, t in stream if kind == "#"):
+        return text  # the page has no more than that
+    own = read(stream, set(fields(grown(stream))))
+    return own if len(text) < SMALL_PART * len(own) else text
 
 
 def _host(url):
@@ -301,7 +310,8 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
         for rows in parts:
             for host, page in zip(rows["host"], rows["html"], strict=True):
                 own = tree(page)
-                held[host] = aligned(held[host], own) if host in held else own
+                own[1] = f"{zlib.crc32((page or '').encode()):x}"
+                held[host] = host_aligned(held[host], own) if host in held else own
             if len(held) > HELD:
                 yield told()
                 held.clear()
@@ -310,7 +320,7 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     def of_wrappers(part: pd.DataFrame) -> pd.DataFrame:
         whole = None
         for w in sorted(part["wrapper"]):
-            whole = json.loads(w) if whole is None else aligned(whole, json.loads(w))
+            whole = json.loads(w) if whole is None else host_aligned(whole, json.loads(w))
         return pd.DataFrame([(part["host"].iat[0], 0, json.dumps(whole))], columns=["host", "part", "wrapper"])
 
     bound_batches(pages.sparkSession)

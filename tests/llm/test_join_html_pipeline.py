@@ -149,6 +149,29 @@ def test_html(spark):
     assert html_extract.extract(empty).count() == 0
 
 
+def test_html_without_a_named_container_keeps_all_text(spark):
+    page = "<html><body><nav>menu</nav><h1>{0} title</h1><div><p>{1}</p></div><section><p>{2}</p></section><div>same words</div></body></html>"
+    long, third = "long text of it " * 30, "a third of the article " * 9
+    rows = [(1, "http://one.org/1", page.format("A", long, third))]
+    rows += [(10 + k, f"http://two.org/{k}", page.format(f"B{k}", f"{k} {long}", f"{k} {third}")) for k in range(6)]
+    # a rarer layout, with one line where the host's pages have their text
+    rare = "<html><body><div><p>one line</p></div><table><tr><td>" + long + "</td></tr></table></body></html>"
+    named = lambda k: f"<html><body><article><p>{k} {long}</p></article></body></html>"
+    rows += [(20 + k, f"http://three.org/{k}", named(k)) for k in range(6)]
+    rows += [(30, "http://three.org/30", "<html><body><article><p>one line</p></article><main><h2>Head</h2></main></body></html>")]
+    rows += [(40 + k, f"http://four.org/{k}", f"<html><body><div><p>{k} {long}</p></div></body></html>") for k in range(6)] + [(50, "http://four.org/50", rare)]
+    rows += [(60 + k, "http://five.org/", "<h1>Head</h1><p>a</p><p>b</p>") for k in range(2)]
+    got = {r.page_id: r.main_text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    long, third = long.strip(), third.strip()
+    assert got[1] == f"A title\n{long}\n{third}\nsame words"
+    for k in range(6):
+        assert got[10 + k].split("\n")[:3] == [f"B{k} title", f"{k} {long}", f"{k} {third}"]
+        assert got[20 + k] == got[40 + k] == f"{k} {long}"
+    assert got[30] == "one line"
+    assert got[50] == f"one line\n{long}"
+    assert got[60] == got[61] == "Head\na\nb"
+
+
 def test_html_on_the_table(spark):
     from html import unescape
 
