@@ -232,6 +232,13 @@ def _component_nodes(s, d):
     return graph.components(e, "s", "o").agg(F.count("*").alias("nodes"))
 
 
+@query()
+def component_labels(s, d):
+    """Over all edges; without SQL, as a recursive query over them is too slow."""
+    e = table(s, d, "lineitem").select(F.col("l_suppkey").alias("s"), (F.col("l_orderkey") + 1_000_000_000).alias("o"))
+    return graph.components(e, "s", "o")
+
+
 @query("WITH m AS (SELECT l_orderkey AS row, l_partkey AS member, l_returnflag <> 'A' AS ok FROM lineitem), o AS (SELECT member, count(DISTINCT row) AS owners, bool_and(ok) AS every FROM m GROUP BY 1) SELECT row, max(owners > 1 AND NOT every) AS conflict FROM m JOIN o USING (member) GROUP BY 1")
 def assignment_conflicts(s, d):
     m = table(s, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("member"), (F.col("l_returnflag") != "A").alias("ok"))

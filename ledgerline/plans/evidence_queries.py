@@ -60,6 +60,23 @@ def unassigned_members(s, d):
     return passages.unassigned(_allowed(s, d), _proposals(s, d), "member")
 
 
+_ALL_PROPOSALS = _PROPOSALS.replace(" WHERE l_quantity > 45", "")
+
+
+def _all_proposals(s, d):
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("proposal"), F.col("l_partkey").alias("member"))
+
+
+@query(f"WITH {_ALL_PROPOSALS} SELECT proposal, CASE WHEN bool_or(a.member IS NULL) THEN 'unknown_member' WHEN bool_or(uses > 1) THEN 'member_used_twice' ELSE 'accepted' END AS status FROM p JOIN u USING (member) LEFT JOIN allowed a ON a.member = p.member GROUP BY 1")
+def all_proposal_checks(s, d):
+    return passages.checked_proposals(_all_proposals(s, d), _allowed(s, d), "proposal", "member")
+
+
+@query(f"WITH {_ALL_PROPOSALS} SELECT member FROM allowed WHERE member NOT IN (SELECT member FROM p)")
+def all_unassigned_members(s, d):
+    return passages.unassigned(_allowed(s, d), _all_proposals(s, d), "member")
+
+
 @query("WITH r AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders), u AS (SELECT *, sum(size) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS upto FROM r WHERE r <= 5) SELECT o_custkey, o_orderkey, size FROM u WHERE upto <= 400000")
 def evidence_budget(s, d):
     o = table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.round("o_totalprice").cast("long").alias("size"))

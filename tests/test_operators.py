@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ledgerline.functions import ladders, numbers
 from ledgerline.functions import text as X
 from ledgerline.operators import diff, facts, graph, pandas_text, retrieval, windows
-from ledgerline.plans import questions
+from ledgerline.plans import catalog, questions
 from ledgerline.plans.changes import changes
 from ledgerline.sources import markup, stores
 from ledgerline.streaming import feeds
@@ -181,3 +181,18 @@ def test_streams(spark, tmp_path):
     assert sorted(r.n for r in spark.table("counts").collect()) == [3, 3]
     feeds.keep_latest(feeds.feed(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), ["kind", "v"], str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_component_labels_of_all_edges(spark, small):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_suppkey", "l_orderkey").collect():
+        x, y = find(r.l_suppkey), find(r.l_orderkey + 1_000_000_000)
+        root[max(x, y)] = min(x, y)
+    got = catalog.QUERIES["component_labels"](spark, small).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted((x, find(x)) for x in root)
