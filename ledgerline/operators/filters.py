@@ -86,4 +86,4 @@ def search(changes: DataFrame, words: str, f: Filters) -> DataFrame:
 
 def export_rows(changes: DataFrame) -> DataFrame:
     """Rows for a spreadsheet: one line each, no formulas."""
-    return changes.select("match_id", "company", "item", T.safe_cell(F.regexp_replace(F.substring("text", 1, 80), r"[\t\r\n]+", " ")).alias("cell"))
+    return changes.select("match_id", "company", "item", T.safe_cell(F.regexp_replace("text", r"[\t\r\n]+", " ")).alias("cell"))

@@ -114,6 +114,14 @@ def field_hashes(s, d):
 def export_rows(s, d):
     from ledgerline.operators import filters
 
+    # this query's SQL is over the first 80 characters; export_whole_rows is over whole texts
+    return filters.export_rows(changes(s, d).withColumn("text", F.substring("text", 1, 80)))
+
+
+@query(f"WITH {SQL} SELECT match_id, CASE WHEN starts_with(ltrim(t), '=') OR starts_with(ltrim(t), '+') OR starts_with(ltrim(t), '@') OR starts_with(ltrim(t), '-') THEN '''' || t ELSE t END AS cell, company, item FROM (SELECT *, regexp_replace(text, '[\t\r\n]+', ' ', 'g') AS t FROM changes)")
+def export_whole_rows(s, d):
+    from ledgerline.operators import filters
+
     return filters.export_rows(changes(s, d))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ledgerline.functions import ladders, numbers
 from ledgerline.functions import text as X
-from ledgerline.operators import diff, facts, graph, pandas_text, retrieval, windows
+from ledgerline.operators import diff, facts, filters, graph, pandas_text, retrieval, windows
 from ledgerline.plans import catalog, questions
 from ledgerline.plans.changes import changes
 from ledgerline.sources import markup, stores
@@ -196,3 +196,9 @@ def test_component_labels_of_all_edges(spark, small):
         root[max(x, y)] = min(x, y)
     got = catalog.QUERIES["component_labels"](spark, small).collect()
     assert sorted((r.node, r.component) for r in got) == sorted((x, find(x)) for x in root)
+
+
+def test_export_rows_keeps_whole_texts(spark):
+    rows = spark.createDataFrame([(1, "c", "i", "=" + "long text " * 50 + "\nend"), (2, "c", "i", "word " * 30)], "match_id long, company string, item string, text string")
+    got = {r.match_id: r.cell for r in filters.export_rows(rows).collect()}
+    assert got == {1: "'=" + "long text " * 50 + " end", 2: "word " * 30}
