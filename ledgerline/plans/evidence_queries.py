@@ -146,6 +146,12 @@ def title_shares(s, d):
     return table(s, d, "documents").select("doc_id", F.round(T.title_case_share(F.substring("text", 1, 200)), 6).alias("share"))
 
 
+@query("WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x) NOT IN ('and','or','of','the','to','in','for','a','an','on','by','with')) AS w FROM documents) SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE round(CAST(len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) AS DOUBLE) / len(w), 6) END AS share FROM w")
+def title_shares_whole(s, d):
+    """How much a whole text looks like a title."""
+    return table(s, d, "documents").select("doc_id", F.round(T.title_case_share(F.col("text")), 6).alias("share"))
+
+
 @query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY ALL")
 def json_path_counts(s, d):
     e = table(s, d, "events").select("event_type", F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"))

@@ -202,3 +202,10 @@ def test_export_rows_keeps_whole_texts(spark):
     rows = spark.createDataFrame([(1, "c", "i", "=" + "long text " * 50 + "\nend"), (2, "c", "i", "word " * 30)], "match_id long, company string, item string, text string")
     got = {r.match_id: r.cell for r in filters.export_rows(rows).collect()}
     assert got == {1: "'=" + "long text " * 50 + " end", 2: "word " * 30}
+
+
+def test_title_shares_read_whole_texts(spark, tmp_path):
+    rows = [(1, "Title Words " * 20 + "and then lower words " * 40), (2, "lower " * 50 + "Upper " * 150)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.share for r in catalog.QUERIES["title_shares_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: 0.25, 2: 0.75}
