@@ -19,7 +19,8 @@ Hamming distance is again a lower bound of the symmetric difference); what is le
 **Large groups.** Exact copies are one set from the start. A segment that few sets share gives their pairs; one that many
 share gives a star first, and, once the links so far are joined into components, pairs of different components only,
 compared in blocks of bounded size by their sketches within the task. So copies never become all pairs, and no link
-between different components is left out.
+between different components is left out. Where links are asked for, all pairs of a large group are compared and all
+candidate pairs are verified, within components too.
 
 Defined results. Texts without words have size 0, link with nothing and are components of their own. A null identifier
 takes part by its text; a component's name is its smallest identifier, null if it has none. Rows that repeat an
@@ -394,13 +395,15 @@ def across(groups: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFram
     return open_.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long, apart long").distinct()
 
 
-def join(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def join(documents: DataFrame, text: str = "text", key: str = "doc_id", links: bool = False) -> DataFrame:
     """One row per row of ``documents``: its identifier, n_shingles, class (the name of its shingle set), and
-    component_id, the smallest identifier that it is connected with by links, itself included."""
-    named, per_set = joined(documents, text, key)
+    component_id, the smallest identifier that it is connected with by links, itself included; with ``links`` also n_links,
+    the number of other classes that its own is linked with."""
+    named, per_set = joined(documents, text, key, links)
     out = named.join(per_set, named.sid == per_set.class_id, "left")
     own = F.when(F.col("sid").isNull(), F.col("_key")).otherwise(F.col("component_id"))
-    return out.select(F.col("_key").alias(key), "n_shingles", F.col("sid").alias("class"), own.alias("component_id"))
+    more = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []
+    return out.select(F.col("_key").alias(key), "n_shingles", F.col("sid").alias("class"), own.alias("component_id"), *more)
 
 
 def one_of_each(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -420,8 +423,9 @@ def one_of_each(documents: DataFrame, text: str = "text", key: str = "doc_id") -
     return rows.where(~F.col("_words")).select("_row.*").unionByName(again.select("_row.*"))
 
 
-def joined(documents: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (_key, sid, n_shingles, sketch, _h) of the documents, and (class_id, root, component_id) of every set."""
+def joined(documents: DataFrame, text: str, key: str, every_link: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows (_key, sid, n_shingles, sketch, _h) of the documents, and (class_id, root, component_id) of every set; with
+    ``every_link`` also n_links, null where a set has none."""
     spark = documents.sparkSession
     bound_batches(spark)
     rows = documents.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
@@ -469,16 +473,31 @@ def joined(documents: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFr
         links = checkpoint(links.union(more))
         return links, components(links)
 
-    links, roots = linked(near, None, None)
     groups = found.where("key is not null").select("key", "a")
-    if not groups.isEmpty():
+    if every_link:
+        pairs = near.select("a", "b")
+        if not groups.isEmpty():
+            # without roots every set is its own component
+            alone = spark.createDataFrame([], "sid long, root long")
+            pairs = checkpoint(pairs.union(across(groups, alone, classes.select("sid", "n_shingles", "sketch")).select("a", "b")).distinct())
+        links = checkpoint(verified(pairs, checkpoint(texts_of(pairs))))
+        release(spark)
+        roots = components(links)
+    else:
+        links, roots = linked(near, None, None)
+    if not every_link and not groups.isEmpty():
         more = checkpoint(across(groups, roots, classes.select("sid", "n_shingles", "sketch")))
         if not more.isEmpty():
             links, roots = linked(more, links, roots)
     rooted = classes.select("sid", "least").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named, rooted.join(names, "root").select(F.col("sid").alias("class_id"), "root", "component_id")
+    per_set = rooted.join(names, "root").select(F.col("sid").alias("class_id"), "root", "component_id")
+    if every_link:
+        ends = links.select(F.col("a").alias("class_id")).union(links.select("b"))
+        per_set = per_set.join(ends.groupBy("class_id").agg(F.count("*").alias("n_links")), "class_id", "left")
+    return named, per_set
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", F.col("class").alias("class_id"))
+    out = join(table(spark, sf_dir, "documents").select("doc_id", "text"), links=True)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("class").alias("class_id"), "n_links")

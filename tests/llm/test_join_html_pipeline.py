@@ -73,6 +73,22 @@ def test_join(spark, seed, monkeypatch):
     assert got == {i: (sizes[i], roots[i]) for i in range(len(texts))}
 
 
+def test_join_finds_every_link(spark):
+    texts = [None, "", "one", *copies(random.Random(4))]
+    sets = [frozenset(shingles(t)) for t in texts]
+    different = sorted({s for s in sets if s}, key=sorted)
+    many = collections.Counter()
+    for i, a in enumerate(different):
+        for b in different[i + 1 :]:
+            if 4 * len(a & b) >= 3 * len(a | b):
+                many.update([a, b])
+    assert max(many.values()) > ngram_join.FEW
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.join(docs, links=True).collect()}
+    _, roots = linked(texts)
+    assert got == {i: (roots[i], many[sets[i]]) for i in range(len(texts))}
+
+
 def test_join_on_the_table(spark):
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").orderBy("doc_id").collect()
     sizes, roots = linked([d.text for d in docs])
