@@ -106,42 +106,95 @@ def test_join_odd_rows(spark):
     assert ngram_join.join(docs.limit(0)).count() == 0 and ngram_join.one_of_each(docs.limit(0)).count() == 0
 
 
+def keys_of(sets, often, spread=1):
+    flat = np.concatenate(sets)
+    return ngram_join.segment_keys(flat, np.cumsum([0, *map(len, sets)]), often, spread)
+
+
 def shared_keys(a, b, often):
-    which, key = ngram_join.segment_keys([b, a, np.zeros(0, np.uint64)], often)
-    alone = ngram_join.segment_keys([a], often)[1]
-    assert sorted(key[which == 1].tolist()) == sorted(alone.tolist())
+    which, key, crowded = keys_of([b, a, np.zeros(0, np.uint64)], often)
+    alone = keys_of([a], often)[1]
+    assert sorted(key[which == 1].tolist()) == sorted(alone.tolist()) and not crowded
     return len(np.intersect1d(key[which == 0], key[which == 1]))
 
 
 def test_sketch_bounds():
     rng = np.random.default_rng(3)
-    for n in (3, 10, 63, 64, 100, 500, 3000):
-        base = np.unique(rng.integers(0, 2**63, 2 * n, dtype=np.int64).view(np.uint64))
+    none = np.zeros(1 << ngram_join.FREQUENT_BITS, np.uint8)
+    often = none.copy()
+    often[rng.integers(0, len(often), len(often) // 2)] = 1
+    for n in (3, 7, 8, 10, 63, 64, 100, 500, 511, 512, 3000):
+        base = np.unique(rng.integers(0, 2**64 - 1, 2 * n, dtype=np.uint64))
         rng.shuffle(base)
         for _ in range(20):
             gone = int(rng.integers(0, n // 4 + 1))
             extra = int(rng.integers(0, n // 4 + 1))
             a, b = np.sort(base[:n]), np.sort(np.append(base[gone:n], base[n : n + extra]))
             both = n - gone
-            p, q = (np.array(ngram_join.parity(x)).view(np.uint64) for x in (a, b))
+            sketch, begin = ngram_join.sketches_of(np.append(a, b), np.array([0, len(a), len(a) + len(b)]))
+            p, q = sketch.view(np.uint64)[: begin[1]], sketch.view(np.uint64)[begin[1] :]
             words = min(len(p), len(q))
             apart = int(np.bitwise_count(ngram_join.fold(p, words) ^ ngram_join.fold(q, words)).sum())
             assert apart <= gone + extra
             if both * 4 >= (len(a) + len(b) - both) * 3 and gone + extra:
-                none = np.zeros(0, np.uint64)
                 assert shared_keys(a, b, none)
-                often = np.sort(base[: n // 2])
                 assert shared_keys(a, b, often)
 
 
+def test_shingles_of_odd_texts(monkeypatch):
+    texts = [None, "", " ", "a", "b c", "\u00c9 \u00e9", "A  b\tc\rd\ne f", "a b c d e f", "x" * 5000, "x" * 5001 + " y", "a b c d e a b c d e a", *copies(random.Random(9), 30)]
+    whole, bounds = ngram_join.shingle_sets(*ngram_join.texts_of(ngram_join.pa.array(texts)))
+    assert np.diff(bounds).tolist() == [len(shingles(t)) for t in texts]
+    names = ngram_join.names_of(whole, bounds)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert (names[i] == names[j]) == (shingles(a) == shingles(b))
+            x, y = whole[bounds[i] : bounds[i + 1]], whole[bounds[j] : bounds[j + 1]]
+            assert len(np.intersect1d(x, y)) == len(shingles(a) & shingles(b))
+    # blocks of any size give the same
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 16)
+    monkeypatch.setattr(ngram_join, "_powers", [])
+    again, _ = ngram_join.shingle_sets(*ngram_join.texts_of(ngram_join.pa.array(texts)))
+    assert (again == whole).all()
+
+
+def test_join_in_small_blocks(spark, monkeypatch):
+    """Large groups in many blocks, hot segments and too few segments, by the same brute force."""
+    for name, value in (("BLOCK_SETS", 4), ("LEADS", 1), ("FEW", 3), ("HELD_KEYS", 500), ("BUCKET_KEYS", 1000), ("SMALL_SEGMENTS", 16)):
+        monkeypatch.setattr(ngram_join, name, value)
+    texts = [None, "", "one", *copies(random.Random(5), 120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sizes, roots = linked(texts)
+    want = {i: (sizes[i], roots[i]) for i in range(len(texts))}
+    for links in (False, True):
+        rows = ngram_join.join(docs, links=links).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
+        if links:
+            sets = [frozenset(shingles(t)) for t in texts]
+            different = {s for s in sets if s}
+            many = {a: sum(a != b and 4 * len(a & b) >= 3 * len(a | b) for b in different) for a in different}
+            assert {r.doc_id: r.n_links for r in rows} == {i: many.get(s, 0) for i, s in enumerate(sets)}
+
+
 def test_large_groups_across_components(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "GROUP_BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
     sets = [(i, 500, [i] * 64, i // 10) for i in range(40)]
-    sketches = spark.createDataFrame([(a, n, s) for a, n, s, _ in sets], "sid long, n_shingles long, sketch array<long>")
-    roots = spark.createDataFrame([(a, r) for a, _, _, r in sets], "sid long, root long")
-    groups = spark.createDataFrame([(1, a) for a, *_ in sets], "key long, a long")
-    got = {(r.a, r.b) for r in ngram_join.across(groups, roots, sketches).collect()}
-    assert got == {(x, y) for x in range(40) for y in range(x + 1, 40) if x // 10 != y // 10 and 64 * bin(x ^ y).count("1") * 7 <= 2 * 500}
+    classes = spark.createDataFrame([(a, n, s) for a, n, s, _ in sets], "cid long, n_shingles long, sketch array<long>")
+    roots = spark.createDataFrame([(a, r) for a, _, _, r in sets], "cid long, root long")
+    groups = spark.createDataFrame([(1, a) for a, *_ in sets], "key long, cid long")
+    got = {(r.a, r.b) for r in ngram_join.across(groups, roots, classes).collect()}
+    near = lambda x, y: 64 * bin(x ^ y).count("1") * 7 <= 2 * 500
+    assert got and all(x // 10 != y // 10 and near(x, y) for x, y in got)
+    label = {x: x // 10 for x in range(40)}
+
+    def join_all(pairs):
+        found = dict(label)
+        for x, y in pairs:
+            old, new = found[y], found[x]
+            found = {k: new if v == old else v for k, v in found.items()}
+        return {frozenset(k for k in found if found[k] == v) for v in found.values()}
+
+    assert join_all(got) == join_all([(x, y) for x in range(40) for y in range(40) if near(x, y)])
 
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{{}}</style><script>var x="</p>";</script></head>
