@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.plans import change_queries, evidence_queries, fact_queries, text_queries
+from ledgerline.plans import change_queries, evidence_queries, fact_queries, metric_queries, report_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = change_queries.QUERIES | fact_queries.QUERIES | evidence_queries.QUERIES | text_queries.QUERIES
-ORACLES: dict[str, str] = change_queries.ORACLES | fact_queries.ORACLES | evidence_queries.ORACLES | text_queries.ORACLES
+_MODULES = (change_queries, fact_queries, metric_queries, evidence_queries, report_queries, text_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 FLAGSHIP = "distribution_two_dims"
