@@ -68,22 +68,41 @@ def packed(text: Column, most: int, least: int) -> Column:
 
 
 def chunks(text: str, most: int, least: int) -> list[str]:
-    out: list[str] = []
-    for paragraph in filter(None, (p.strip() for p in text.split("\n"))):
-        if out and len(out[-1]) < least and len(out[-1]) + len(paragraph) < most:
-            out[-1] += "\n" + paragraph
-            continue
-        if len(paragraph) <= most:
-            out.append(paragraph)
-            continue
-        held = ""
-        for sentence in re.split(r"(?<=[.!?])\s+", paragraph):
-            if held and len(held) + 1 + len(sentence) > most:
-                out.append(held)
-                held = sentence
-            else:
-                held = f"{held} {sentence}".strip()
-        out.append(held)
+    """Paragraphs, which blank lines part, their lines joined. One that follows less than ``least`` characters joins them
+    under a blank line; what is then longer than ``most`` is cut between sentences, and within one between words."""
+    plain = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
+    joined: list[str] = []
+    for paragraph in filter(None, plain):
+        if joined and len(joined[-1]) < least:
+            joined[-1] += "\n\n" + paragraph
+        else:
+            joined.append(paragraph)
+    return [part for whole in joined for part in ([whole] if len(whole) <= most else fitted(whole, most))]
+
+
+def fitted(paragraph: str, most: int) -> list[str]:
+    """Sentences packed while they fit; a sentence that is too long by itself gives its words, packed."""
+    units: list[list[str]] = [[]]
+    for sentence in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9])", paragraph):
+        if units[-1] and sum(map(len, units[-1])) + len(units[-1]) + len(sentence) > most:
+            units.append([])
+        units[-1].append(sentence)
+    packed_: list[str] = []
+    for unit in units:
+        line = " ".join(unit)
+        if len(line) <= most:
+            packed_.append(line)
+        else:
+            packed_ += words_packed(line.split(), most)
+    return packed_
+
+
+def words_packed(words: list[str], most: int) -> list[str]:
+    out, held = [], 0
+    for k in range(1, len(words) + 1):
+        if k == len(words) or len(" ".join(words[held : k + 1])) > most:
+            out.append(" ".join(words[held:k]))
+            held = k
     return out
 
 

@@ -257,9 +257,9 @@ def stale_copies(s, d):
     return diff.stale(n.where("n_nationkey < 15"), copy, ["n_nationkey"], "n_name")
 
 
-@query("SELECT s_suppkey, s_name FROM supplier WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49.5)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = c_custkey)")
 def orphan_rows(s, d):
-    return diff.orphans(table(s, d, "supplier").select("s_suppkey", "s_name"), table(s, d, "lineitem").where("l_quantity > 49.5").select(F.col("l_suppkey").alias("s_suppkey")), ["s_suppkey"])
+    return diff.orphans(table(s, d, "customer").select("c_custkey", "c_name"), table(s, d, "lineitem").select(F.col("l_suppkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")

@@ -15,9 +15,9 @@ from ledgerline.sources.tables import table
 QUERIES, ORACLES, query = registry()
 
 
-@query("SELECT conv_id, turn, CASE WHEN lag(turn) OVER w = turn - 1 THEN lag(role) OVER w END AS before, CASE WHEN lead(turn) OVER w = turn + 1 THEN lead(role) OVER w END AS after FROM conversations WHERE turn <> 2 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query("SELECT conv_id, turn, CASE WHEN lag(turn) OVER w = turn - 1 THEN lag(role) OVER w END AS before, CASE WHEN lead(turn) OVER w = turn + 1 THEN lead(role) OVER w END AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def neighbour_context(s, d):
-    c = table(s, d, "conversations").where("turn <> 2").select("conv_id", "turn", "role")
+    c = table(s, d, "conversations").select("conv_id", "turn", "role")
     return passages.neighbours(c, "conv_id", "turn", "role").select("conv_id", "turn", "before", "after")
 
 
@@ -39,15 +39,16 @@ def assembled_excerpts(s, d):
     return passages.assembled(c, "conv_id", "turn", "role")
 
 
-_PROPOSALS = "p AS (SELECT l_orderkey AS proposal, l_partkey AS member FROM lineitem WHERE l_quantity > 45), allowed AS (SELECT p_partkey AS member FROM part WHERE p_size <> 7), u AS (SELECT member, count(*) AS uses FROM p GROUP BY 1)"
+_PROPOSALS = "p AS (SELECT l_orderkey AS proposal, l_partkey AS member FROM lineitem), allowed AS (SELECT p_partkey AS member FROM part UNION ALL SELECT p_partkey + 1000000 FROM part WHERE p_size = 7), u AS (SELECT member, count(*) AS uses FROM p GROUP BY 1)"
 
 
-def _proposals(s, d):
-    return table(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("proposal"), F.col("l_partkey").alias("member"))
+def _allowed(s, d):
+    p = table(s, d, "part")
+    return p.select(F.col("p_partkey").alias("member")).union(p.where("p_size = 7").select(F.col("p_partkey") + 1000000))
 
 
-def _allowed(s, d):
-    return table(s, d, "part").where("p_size <> 7").select(F.col("p_partkey").alias("member"))
+def _proposals(s, d):
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("proposal"), F.col("l_partkey").alias("member"))
 
 
 @query(f"WITH {_PROPOSALS} SELECT proposal, CASE WHEN bool_or(a.member IS NULL) THEN 'unknown_member' WHEN bool_or(uses > 1) THEN 'member_used_twice' ELSE 'accepted' END AS status FROM p JOIN u USING (member) LEFT JOIN allowed a ON a.member = p.member GROUP BY 1")
@@ -60,23 +61,6 @@ def unassigned_members(s, d):
     return passages.unassigned(_allowed(s, d), _proposals(s, d), "member")
 
 
-_ALL_PROPOSALS = _PROPOSALS.replace(" WHERE l_quantity > 45", "")
-
-
-def _all_proposals(s, d):
-    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("proposal"), F.col("l_partkey").alias("member"))
-
-
-@query(f"WITH {_ALL_PROPOSALS} SELECT proposal, CASE WHEN bool_or(a.member IS NULL) THEN 'unknown_member' WHEN bool_or(uses > 1) THEN 'member_used_twice' ELSE 'accepted' END AS status FROM p JOIN u USING (member) LEFT JOIN allowed a ON a.member = p.member GROUP BY 1")
-def all_proposal_checks(s, d):
-    return passages.checked_proposals(_all_proposals(s, d), _allowed(s, d), "proposal", "member")
-
-
-@query(f"WITH {_ALL_PROPOSALS} SELECT member FROM allowed WHERE member NOT IN (SELECT member FROM p)")
-def all_unassigned_members(s, d):
-    return passages.unassigned(_allowed(s, d), _all_proposals(s, d), "member")
-
-
 @query("WITH r AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders), u AS (SELECT *, sum(size) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS upto FROM r WHERE r <= 5) SELECT o_custkey, o_orderkey, size FROM u WHERE upto <= 400000")
 def evidence_budget(s, d):
     o = table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.round("o_totalprice").cast("long").alias("size"))
@@ -95,9 +79,9 @@ def newest_containing_run(s, d):
     return passages.newest_within(rows, runs, "k", "low", "high", "s_acctbal", "c_custkey").withColumnRenamed("k", "s_nationkey")
 
 
-@query("WITH w AS (SELECT p_partkey, p_name, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS n FROM part), x AS (SELECT *, len(list_distinct(string_split(n, ' '))) AS k, len(list_intersect(list_distinct(string_split(n, ' ')), ['part', '7'])) AS sh FROM w), r AS (SELECT p_partkey, p_name, round(CASE WHEN p_name = 'part 7' THEN 100.0 WHEN n = 'part 7' THEN 95.0 WHEN starts_with(n, 'part 7') THEN 92.0 WHEN sh = 2 THEN 55 + CAST(25.0 * sh AS DOUBLE) / k WHEN sh > 0 THEN CAST(35.0 * sh AS DOUBLE) / 2 END, 6) AS score FROM x) SELECT p_name, CAST(score AS DOUBLE) AS score FROM r WHERE score IS NOT NULL ORDER BY score DESC, p_name LIMIT 12")
+@query("WITH w AS (SELECT p_partkey, p_name, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS n FROM part), x AS (SELECT *, len(list_distinct(string_split(n, ' '))) AS k, len(list_intersect(list_distinct(string_split(n, ' ')), ['large', 'ring'])) AS sh FROM w), r AS (SELECT p_partkey, p_name, round(CASE WHEN p_name = 'large ring' THEN 100.0 WHEN n = 'large ring' THEN 95.0 WHEN starts_with(n, 'large ring') THEN 92.0 WHEN sh = 2 THEN 55 + CAST(25.0 * sh AS DOUBLE) / k WHEN sh > 0 THEN CAST(35.0 * sh AS DOUBLE) / 2 END, 6) AS score FROM x) SELECT p_name, CAST(score AS DOUBLE) AS score FROM r WHERE score IS NOT NULL ORDER BY score DESC, p_name LIMIT 12")
 def metric_name_search(s, d):
-    return passages.ranked_matches(table(s, d, "part").select("p_name"), "p_name", "part 7", 12)
+    return passages.ranked_matches(table(s, d, "part").select("p_name"), "p_name", "large ring", 12)
 
 
 @query("SELECT DISTINCT ON (text) text, doc_id, lang FROM documents ORDER BY text, lang, doc_id")
@@ -110,16 +94,8 @@ def field_hashes(s, d):
     return passages.unpivot_texts(table(s, d, "documents"), "doc_id", ["text", "lang", "source"])
 
 
-@query(f"WITH {SQL} SELECT match_id, CASE WHEN starts_with(ltrim(t), '=') OR starts_with(ltrim(t), '+') OR starts_with(ltrim(t), '@') OR starts_with(ltrim(t), '-') THEN '''' || t ELSE t END AS cell, company, item FROM (SELECT *, regexp_replace(substr(text, 1, 80), '[\t\r\n]+', ' ', 'g') AS t FROM changes)")
-def export_rows(s, d):
-    from ledgerline.operators import filters
-
-    # this query's SQL is over the first 80 characters; export_whole_rows is over whole texts
-    return filters.export_rows(changes(s, d).withColumn("text", F.substring("text", 1, 80)))
-
-
 @query(f"WITH {SQL} SELECT match_id, CASE WHEN starts_with(ltrim(t), '=') OR starts_with(ltrim(t), '+') OR starts_with(ltrim(t), '@') OR starts_with(ltrim(t), '-') THEN '''' || t ELSE t END AS cell, company, item FROM (SELECT *, regexp_replace(text, '[\t\r\n]+', ' ', 'g') AS t FROM changes)")
-def export_whole_rows(s, d):
+def export_rows(s, d):
     from ledgerline.operators import filters
 
     return filters.export_rows(changes(s, d))
@@ -140,14 +116,8 @@ def nested_documents(s, d):
     return whole.select("o_custkey", F.array_join(F.transform("parts", lambda p: F.concat_ws(":", p["o_orderkey"], p["o_orderstatus"])), ",").alias("parts"))
 
 
-@query("WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(substr(text, 1, 200), '[A-Za-z]+'), lambda x: lower(x) NOT IN ('and','or','of','the','to','in','for','a','an','on','by','with')) AS w FROM documents) SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE round(CAST(len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) AS DOUBLE) / len(w), 6) END AS share FROM w")
+@query("WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''’&.-]*'), lambda x: lower(x) NOT IN ('a','an','and','as','at','by','for','from','in','into','of','on','or','the','to','with')) AS w FROM documents) SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE round(CAST(len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]|^.+[A-Z0-9]'))) AS DOUBLE) / len(w), 6) END AS share FROM w")
 def title_shares(s, d):
-    """How much the head of a text looks like a title; the head is what the operator is about."""
-    return table(s, d, "documents").select("doc_id", F.round(T.title_case_share(F.substring("text", 1, 200)), 6).alias("share"))
-
-
-@query("WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x) NOT IN ('and','or','of','the','to','in','for','a','an','on','by','with')) AS w FROM documents) SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE round(CAST(len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) AS DOUBLE) / len(w), 6) END AS share FROM w")
-def title_shares_whole(s, d):
     """How much a whole text looks like a title."""
     return table(s, d, "documents").select("doc_id", F.round(T.title_case_share(F.col("text")), 6).alias("share"))
 
@@ -164,11 +134,11 @@ def two_sided_groups(s, d):
     return e.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.max("value") - F.min("value"), 6).alias("spread"), F.count_distinct("event_type").alias("kinds")).where("kinds >= 2")
 
 
-@query("SELECT DISTINCT p_brand, p_size FROM part INTERSECT SELECT p_brand, p_size FROM part WHERE p_retailprice > 1000 EXCEPT SELECT p_brand, p_size FROM part WHERE p_size < 5")
+@query("SELECT DISTINCT p_brand, p_size FROM part INTERSECT SELECT p_brand, p_size FROM part WHERE p_retailprice > 950 EXCEPT SELECT p_brand, p_size FROM part WHERE p_size < 5")
 def set_operations(s, d):
     p = table(s, d, "part")
     pick = lambda c: p.where(c).select("p_brand", "p_size")
-    return pick("true").intersect(pick("p_retailprice > 1000")).subtract(pick("p_size < 5"))
+    return pick("true").intersect(pick("p_retailprice > 950")).subtract(pick("p_size < 5"))
 
 
 @query("SELECT l_suppkey, l_partkey, n FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL) s WHERE n = (SELECT max(m) FROM (SELECT l_suppkey AS k, l_partkey, count(*) AS m FROM lineitem GROUP BY ALL) t WHERE t.k = s.l_suppkey)")

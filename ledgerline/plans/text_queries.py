@@ -199,6 +199,13 @@ def page_blocks(s, d):
     return markup.blocks(table(s, d, "pages"), "page_id", "html")
 
 
-@query()
+_GRID = "SELECT k, 0 AS r, 0 AS c, 'N' || k AS t FROM n UNION ALL SELECT k, 1, 0, 'N' || k FROM n UNION ALL SELECT k, 0, c, 'wide' FROM n, (SELECT unnest([1, 2]) AS c) UNION ALL SELECT k, 1, 1, CAST(o AS VARCHAR) FROM n UNION ALL SELECT k, 1, 2, 'x' FROM n"
+
+
+@query(f"WITH n AS (SELECT n_nationkey AS k, n_regionkey AS o FROM nation) SELECT k, CAST(r AS INT) AS row, CAST(c AS INT) AS col, t AS text FROM ({_GRID})")
 def page_grid(s, d):
-    return markup.grids(table(s, d, "pages"), "page_id", "html")
+    """The grid of a table with spans, one for each nation."""
+    n = table(s, d, "nation")
+    k = F.col("n_nationkey").cast("string")
+    html = F.concat(F.lit("<p>x</p><table><tr><th rowspan='2'>N"), k, F.lit("</th><td colspan=2>wide</td></tr><tr><td>"), F.col("n_regionkey").cast("string"), F.lit("<td>x</table>"))
+    return markup.grids(n.select(F.col("n_nationkey").alias("k"), html.alias("html")), "k", "html").select("k", F.col("row_index").alias("row"), F.col("column_index").alias("col"), "text")

@@ -23,8 +23,8 @@ def test_small_predicates(spark):
     rows = frame(spark, [("7", "See pages 12 to 30 of the annual report. More.", 1), ("7", "Revenue grew. See page 3.", 1), ("1", "See page 3 of the annual report.", 1), ("8", "x" * 500, 1)], "i string, t string, n int")
     assert [r.x for r in rows.select(headings.is_pointer(F.col("i"), F.col("t"), F.col("n")).alias("x")).collect()] == [True, False, False, False]
     n, t = headings.footnote(F.col("t"))
-    notes = frame(spark, [("(1) Includes all units",), ("12Restated figures",), ("3 short",), ("no note here",)], "t string").select(n.alias("n"), t.alias("t")).collect()
-    assert [(r.n, r.t) for r in notes] == [(1, "Includes all units"), (12, "Restated figures"), (None, None), (None, None)]
+    notes = frame(spark, [("(1) Includes all units",), ("12Restated figures",), ("[[FNREF:4]] As restated later",), ("1234 Not a note at all",), ("3 short",), ("no note here",)], "t string").select(n.alias("n"), t.alias("t")).collect()
+    assert [(r.n, r.t) for r in notes] == [(1, "Includes all units"), (12, "Restated figures"), (4, "As restated later"), (None, None), (None, None), (None, None)]
     pages = frame(spark, [("Page 12 of 90",), ("- 7 -",), ("12",), ("page twelve",)], "t string").select(headings.page_number(F.col("t")).alias("p")).collect()
     assert [r.p for r in pages] == [12, 7, None, None]
     assert frame(spark, [("Note 3. Leases:", "8")], "t string, i string").select(headings.section_key(F.col("i"), F.col("t")).alias("k")).first().k == "8:leases"

@@ -120,8 +120,49 @@ def test_text_metrics(spark):
 
 
 def test_chunks():
-    text = "short\nalso short\n" + "A sentence here. " * 30
-    assert all(len(c) <= 200 for c in pandas_text.chunks(text, 200, 40)) and pandas_text.chunks(text, 200, 40)[0] == "short\nalso short"
+    text = "short\nof two lines\n\nalso short\n \n" + "A sentence here. " * 30 + "\n\n" + "word " * 60
+    got = pandas_text.chunks(text, 200, 40)
+    assert got[0] == ("short of two lines\n\nalso short" + "\n\n" + " ".join(["A sentence here."] * 30))[: len(got[0])]
+    assert all(0 < len(c) <= 200 for c in got) and pandas_text.chunks("", 200, 40) == []
+    assert " ".join(" ".join(got).split()) == " ".join(text.split())  # nothing is lost
+    assert pandas_text.chunks("one\n\ntwo", 200, 2) == ["one", "two"] and pandas_text.chunks("a\n\ntwo", 200, 2) == ["a\n\ntwo"]
+    assert pandas_text.chunks("First one. Second one. third", 12, 0) == ["First one.", "Second one.", "third"]
+
+
+def cut(text):
+    """Sentences by a walk over the words: the same rule, written once more for the test."""
+    import re
+
+    for a, b in zip(*X.TYPOGRAPHY, strict=True):
+        text = text.replace(a, b)
+    out = []
+    for line in re.sub(r"\s*•\s*", "\n• ", " ".join(text.split())).split("\n"):
+        words, held = line.split(), []
+        for k, w in enumerate(words):
+            held.append(w)
+            after = words[k + 1] if k + 1 < len(words) else ""
+            opens = after.lstrip("\"'([")[:1] if after[:1] in "\"'([" and after[1:2] not in "\"'([" else after[:1]
+            ends = w[-1] in ".!?" and bool(re.match("[A-Z0-9]", opens))
+            tail = " ".join(held)
+            if any(tail.endswith(a) for a in X.ABBREVIATIONS) or (tail.endswith("Cal.") and after.startswith("App.")):
+                ends = False
+            if re.search(r"\b[A-Za-z]\.$", w) and re.match("[A-Z0-9]", after):
+                ends = False
+            if re.search(r"\b[A-Z]\.[A-Z]\.$", w):
+                ends = False
+            if re.search(r'"[^"]{0,200}\bnote \d{1,3}\.$', tail, re.I) and after[:1].isalpha():
+                ends = False
+            if ends or k + 1 == len(words):
+                out.append(" ".join(held))
+                held = []
+    return [s for s in out if s]
+
+
+def test_sentences_of_documents(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("text").collect()
+    texts = [r.text for r in rows] + ['See "Note 12. Leases" and Cal. App. Fourth. The U.S.A. Office of J. P. Morgan Co. Ltd. spoke. (It did.) "Yes." No. 5', "a•b. C•D", "", "Taco. Bell i.e. X. Y. Zed vs. Them"]
+    got = [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.sentences(F.col("t")).alias("s")).collect()]
+    assert got == [cut(t) for t in texts]
 
 
 def test_markup():
@@ -169,6 +210,10 @@ def test_guard(spark, small):
     for bad in ("DROP TABLE alignment_changes", "SELECT * FROM secrets", "SELECT 1; SELECT 2", "INSERT INTO alignment_changes SELECT 1", "SELECT * FROM alignment_changes a JOIN other b ON a.item = b.item", "not sql"):
         with pytest.raises(ValueError):
             questions.guarded(spark, bad)
+    for bad in ("SELECT reflect('java.lang.System', 'getProperty', 'user.name') FROM alignment_changes", "SELECT `reflect`('a', 'b') FROM alignment_changes", "SELECT java_method('a', 'b') FROM alignment_changes", "SELECT item FROM alignment_changes WHERE length(input_file_name /* */ ()) > 0", "SELECT * FROM range(5), alignment_changes"):
+        with pytest.raises(ValueError):
+            questions.guarded(spark, bad)
+    assert questions.guarded(spark, "SELECT item, round(avg(n_chars), 1) AS a FROM alignment_changes WHERE item IN ('reflect(x)', 'en') GROUP BY item").count() > 0
 
 
 def test_streams(spark, tmp_path):
@@ -207,5 +252,5 @@ def test_export_rows_keeps_whole_texts(spark):
 def test_title_shares_read_whole_texts(spark, tmp_path):
     rows = [(1, "Title Words " * 20 + "and then lower words " * 40), (2, "lower " * 50 + "Upper " * 150)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.share for r in catalog.QUERIES["title_shares_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.share for r in catalog.QUERIES["title_shares"](spark, str(tmp_path)).collect()}
     assert got == {1: 0.25, 2: 0.75}

@@ -38,10 +38,11 @@ def test_query(spark, duck, name):
     frame = catalog.QUERIES[name](spark, MIDDLE)
     got = ordered(frame.columns, frame.collect())
     if name not in catalog.ORACLES:
-        assert got[0]
+        assert got[1]  # rows; what they hold is tested by itself
         return
     cursor = duck.execute(catalog.ORACLES[name])
     assert got == ordered([d[0] for d in cursor.description], cursor.fetchall())
+    assert got[1], "a comparison of nothing"
 
 
 def test_entry(spark):
