@@ -12,9 +12,9 @@ has at most ``d = (a + b) // 7``, and they touch at most ``d`` segments. So of t
 either text in one global order, at least one is the same in both; ``b`` is at most 4/3 of ``a`` and of the band. Exactly
 these segments are joined. The order puts segments of only frequent shingles last, so that passages which many texts share
 are not joined on unless a text consists of little else, and fuller segments first. A text whose shingles crowd into fewer
-than ``d + 1`` segments makes the pass run again with more segments.
+segments makes the pass run again with more segments.
 
-**Candidates.** Pairs that share a segment are filtered by size and by parity sketches of 1,024 to 32,768 bits, by size
+**Candidates.** Pairs that share a segment are filtered by size and by parity sketches of 256 to 32,768 bits, by size
 (bit-wise Hamming distance is again a lower bound of the symmetric difference). A segment that few sets share gives their
 pairs. One that many share gives a star, and its members; members that are not connected yet are compared by sketches in
 blocks of bounded size, and a block tells only which of its members are connected. A segment that is frequent within one
@@ -34,15 +34,17 @@ a hash of their shingles, shingles by 64 bits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from ledgerline.llm._common import bound_batches, release, remove_tree, stash, table
+from ledgerline.llm.hashing import GOLD, byte_numbers, mix, piece_hashes, sub_batches
 
 WIDTH = 5
 #: Similarity of at least NUMERATOR / DENOMINATOR.
@@ -55,96 +57,44 @@ FREQUENT_BITS = 22
 BAND_BITS = 3
 #: Up to this band a sketch has so many segments that nearly every shingle has its own.
 SMALL_BAND, SMALL_SEGMENTS = 64, 1 << 16
+#: Segments that sets of SMALL_BAND and more must share.
+SHARED = 4
 #: Sets of one segment whose pairs are all candidates; beyond, a star and the search across connected groups.
 FEW = 12
 #: Sets, and their shingles, of one connected group that are compared with as many others at a time.
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
 #: Members of a large group that are compared with all of it first.
 LEADS = 8
 #: Columns of the matrix by which shared shingles are counted, at a time.
 COLUMNS_AT_ONCE = 4096
 #: Rows of a block whose sketches are compared at once.
 ROWS_AT_ONCE = 64
-#: Keys, or shingles, that go to one task, about.
-BUCKET_KEYS = 1_000_000
+#: Keys that go to one bucket of the segment join, and shingles to one task of the verification, about.
+BUCKET_KEYS, TASK_SHINGLES = 250_000, 4_000_000
 #: Keys that a task holds before it passes them on.
 HELD_KEYS = 1_000_000
 #: Shingles among which those of several texts are counted at a time.
 COUNTED = 4_000_000
-#: Bytes of texts whose words are hashed at a time.
-BLOCK_BYTES = 1 << 20
 #: Sizes up to which a parity sketch has so many 64-bit words; larger sets have the last. Each divides the next, so that a
 #: longer sketch folds (by XOR) into a shorter one of the same set.
-SKETCHES = ((256, 16), (2048, 64), (None, 512))
+SKETCHES = ((64, 4), (512, 16), (2048, 64), (8192, 256), (None, 512))
 #: Bytes of a set's name.
 NAME = 12
 
-M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-GOLD = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 64) - 1
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * M1
-    x = (x ^ (x >> np.uint64(27))) * M2
-    return x ^ (x >> np.uint64(31))
-
-
 # ---- shingles of many texts at once ----------------------------------------------------------------------------------
 
 #: Which bytes belong to words: all but \x20 and \x09-\x0D.
 IN_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 #: A number per byte, the same for a letter of A-Z and its lower case.
-BYTE = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
+BYTE = byte_numbers(0)
 BYTE[65:91] = BYTE[97:123]
-BASE = 0x2545F4914F6CDD1D
 #: A multiplier per word of a shingle, and a summand per number of words.
 AT = mix(np.arange(1001, 1001 + WIDTH, dtype=np.uint64) * GOLD) | np.uint64(1)
 COUNT = mix(np.arange(2001, 2002 + WIDTH, dtype=np.uint64) * GOLD)
 
-_powers: list[np.ndarray] = []
-
-
-def powers() -> list[np.ndarray]:
-    """BASE to the power of every place in a block, and the inverses."""
-    if not _powers:
-        for b in (BASE, pow(BASE, -1, 1 << 64)):
-            p = np.full(BLOCK_BYTES + 1, b, dtype=np.uint64)
-            p[0] = 1
-            _powers.append(np.multiply.accumulate(p))
-    return _powers
-
-
-def long_word(word: np.ndarray) -> int:
-    """The hash of a word of any length, block by block."""
-    total, scale = 0, 1
-    for k in range(0, len(word), BLOCK_BYTES):
-        piece = BYTE[word[k : k + BLOCK_BYTES]] * powers()[0][: len(word) - k if len(word) - k < BLOCK_BYTES else BLOCK_BYTES]
-        total += int(piece.sum(dtype=np.uint64)) * scale
-        scale = scale * int(powers()[0][BLOCK_BYTES]) & MASK
-    return total & MASK
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the words data[starts:ends], as polynomials of their bytes."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    k = 0
-    while k < len(starts):
-        base = starts[k]
-        upto = max(k + 1, int(np.searchsorted(ends, base + BLOCK_BYTES, "right")))
-        block = data[base : ends[upto - 1]]
-        if len(block) > BLOCK_BYTES:
-            out[k] = long_word(block)
-        else:
-            total = np.zeros(len(block) + 1, dtype=np.uint64)
-            np.cumsum(BYTE[block] * powers()[0][: len(block)], out=total[1:])
-            a = starts[k:upto] - base
-            out[k:upto] = (total[ends[k:upto] - base] - total[a]) * powers()[1][a]
-        k = upto
-    return mix(out)
-
-
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of the texts data[offsets[k]:offsets[k + 1]]: hashes, distinct and sorted within each text, and where
     each text's begin."""
@@ -159,7 +109,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     starts, ends = np.flatnonzero(begin), np.flatnonzero(last) + 1
     first = np.searchsorted(starts, offsets)
     n_words = np.diff(first)
-    h = word_hashes(data, starts, ends)
+    h = piece_hashes(data, starts, ends, BYTE)
     n = len(h)
     padded = np.append(h, np.zeros(WIDTH, dtype=np.uint64))
     whole = np.full(n, COUNT[WIDTH], dtype=np.uint64)
@@ -182,17 +132,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return flat[new], np.append(0, np.cumsum(new))[bounds]
 
 
-def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a column of texts and where each begins; nulls are empty."""
-    column = column.cast(pa.large_string()).fill_null("")
-    if len(column) == 0:
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return whole[offsets[0] :], offsets - offsets[0]
-
-
 def names_of(flat: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """A name of NAME bytes for every set; empty for an empty one."""
     view = memoryview(flat.view(np.uint8))
@@ -234,7 +173,8 @@ def segment_keys(flat: np.ndarray, bounds: np.ndarray, frequent: np.ndarray, spr
     which, band = np.append(sets, sets[both]), np.append(own, high[both])
     apart = (n[which] + np.minimum(n[which] * DENOMINATOR // NUMERATOR, (band << BAND_BITS) - 1)) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
     some = apart > 0  # else only equal sets are linked
-    which, band, need = which[some], band[some], apart[some] + 1
+    which, band = which[some], band[some]
+    need = apart[some] + np.where(band >= SMALL_BAND, SHARED, 1)
     if not len(which):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), False
     size = n[which]
@@ -259,22 +199,14 @@ def segment_keys(flat: np.ndarray, bounds: np.ndarray, frequent: np.ndarray, spr
         if m < b - a:
             last[k] = np.partition(rank[a:b], m - 1)[m - 1]
     keep = rank <= np.repeat(last, n_tokens)
+    # the last bit tells the band's kind
+    key = key >> np.uint64(1) << np.uint64(1) | np.repeat(band < SMALL_BAND, n_tokens).astype(np.uint64)
     return np.repeat(which, n_tokens)[keep], key[keep], bool((n_tokens < need).any())
 
 
 # ---- passes over the texts -------------------------------------------------------------------------------------------
 
 
-def sub_batches(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Ranges of rows of a batch, each of a few blocks of bytes or a single text, with their shingles."""
-    data, offsets = texts_of(batch.column(column))
-    a = 0
-    while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + 4 * BLOCK_BYTES, "right")) - 1)
-        yield a, b, *shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        a = b
-
-
 def binaries(data: bytes, n: int) -> pa.Array:
     """``data`` cut into binaries of NAME bytes."""
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * NAME).astype(np.int32)), pa.py_buffer(data)])
@@ -306,7 +238,8 @@ def named_rows(rows: DataFrame) -> DataFrame:
 
         batch = None
         for batch in parts:
-            for a, b, flat, bounds in sub_batches(batch, "_text"):
+            for a, b, data, offsets in sub_batches(batch.column("_text")):
+                flat, bounds = shingle_sets(data, offsets)
                 part = batch.slice(a, b - a)
                 sketch, begin = sketches_of(flat, bounds)
                 nothing = pa.nulls(b - a, pa.list_(pa.int64()))
@@ -337,8 +270,8 @@ def frequent_table(named: DataFrame, n_texts: int) -> np.ndarray:
 
 
 def candidate_rows(texts: DataFrame, frequent: np.ndarray, buckets: int, spread: int = 1) -> DataFrame:
-    """Of each segment that several sets share: pairs of sets (a, b), or, where they are many, star pairs and the group's
-    members (key, and the set in ``a``; ``key`` is null in pairs). A row without sets says that ``spread`` is too small."""
+    """Of each segment that several sets share: pairs of sets (a, b) and how often, or, where they are many, star pairs and
+    the group's members (key, and the set in ``a``; ``key`` is null in pairs). A row without sets says that ``spread`` is too small."""
     shared = texts.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +309,8 @@ def candidate_rows(texts: DataFrame, frequent: np.ndarray, buckets: int, spread:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "keys", "sids", "hot"])
 
         for batch in parts:
-            for _, _, flat, bounds in sub_batches(batch, "_text"):
+            for _, _, data, offsets in sub_batches(batch.column("_text")):
+                flat, bounds = shingle_sets(data, offsets)
                 names = names_of(flat, bounds)
                 new = np.zeros(len(names), dtype=bool)
                 for k, x in enumerate(names):
@@ -399,7 +333,8 @@ def candidate_rows(texts: DataFrame, frequent: np.ndarray, buckets: int, spread:
         made = [b"".join(part.column(c).to_pylist()) for c in ("keys", "sids", "hot")]
         sid = np.frombuffer(made[1], f"S{NAME}")
         if bucket < 0 or not len(sid):
-            return pa.table({"key": pa.array([0] if bucket < 0 else [], pa.int64()), "a": pa.nulls(int(bucket < 0), pa.binary()), "b": pa.nulls(int(bucket < 0), pa.binary())})
+            nothing = [pa.nulls(int(bucket < 0), t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.int32())]
+            return pa.table(dict(zip(("key", "a", "b", "times"), nothing, strict=True)))
         if bucket >= buckets:
             key = np.frombuffer(made[0], np.int64)
             hot = np.zeros(len(key), dtype=bool)
@@ -427,7 +362,10 @@ def candidate_rows(texts: DataFrame, frequent: np.ndarray, buckets: int, spread:
         lead, member = np.repeat(first[big], many[big]), np.flatnonzero(np.repeat(big, many))
         out.append((lead[lead != member], member[lead != member]))
         a, b = (sid[np.concatenate(x)] for x in zip(*out, strict=True))
-        pairs = np.unique(a.astype(np.int64) * len(name) + b)
+        # pairs of a star count as if all their segments were shared, as do those of the lowest bands
+        full = np.concatenate([np.where(key[x] & 1, SHARED, 1) for x, _ in out[:-1]] + [np.full(len(out[-1][0]), SHARED)])
+        pairs, at = np.unique(a.astype(np.int64) * len(name) + b, return_inverse=True)
+        times = np.bincount(at, full, len(pairs)).astype(np.int32)
         sets = np.concatenate([pairs // max(1, len(name)), sid[member]])
         others = binaries(name[pairs % max(1, len(name))].tobytes(), len(pairs))
         return pa.table(
@@ -435,11 +373,12 @@ def candidate_rows(texts: DataFrame, frequent: np.ndarray, buckets: int, spread:
                 "key": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(key[member])]),
                 "a": binaries(name[sets].tobytes(), len(sets)),
                 "b": pa.concat_arrays([others, pa.nulls(len(member), pa.binary())]),
+                "times": pa.concat_arrays([pa.array(times), pa.nulls(len(member), pa.int32())]),
             }
         )
 
     dealt = texts.select("_text").mapInArrow(deal, "bucket long, keys binary, sids binary, hot binary")
-    return dealt.groupBy("bucket").applyInArrow(join, "key long, a binary, b binary")
+    return dealt.groupBy("bucket").applyInArrow(join, "key long, a binary, b binary, times int")
 
 
 def shingles_of(texts: DataFrame) -> DataFrame:
@@ -455,7 +394,8 @@ def shingles_of(texts: DataFrame) -> DataFrame:
                     seen.add(x)
                     new.append(k)
             batch = batch.take(pa.array(new, pa.int64()))
-            for a, b, flat, bounds in sub_batches(batch, "_text"):
+            for a, b, data, offsets in sub_batches(batch.column("_text")):
+                flat, bounds = shingle_sets(data, offsets)
                 view = memoryview(flat.view(np.uint8))
                 sets = pa.array([bytes(view[8 * x : 8 * y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
                 part = batch.slice(a, b - a)
@@ -544,7 +484,6 @@ def across(groups: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame
         whole = [values[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
         least = SKETCHES[0][1]
         half = np.array([fold(x, least) for x in whole])
-        short = np.bitwise_xor.reduce(half.reshape(len(half), -1, 4), axis=1)
         near = lambda apart, x, y: apart * (DENOMINATOR + NUMERATOR) <= (n[x] + n[y]) * (DENOMINATOR - NUMERATOR)
         _, label = np.unique(root, return_inverse=True)  # connected members have one label
         two = part.column("x")[0].as_py() != part.column("y")[0].as_py()
@@ -557,9 +496,9 @@ def across(groups: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame
                 fit &= own != own[i]
             a, b = np.nonzero(fit)
             a += start
-            for sk in (short, half):  # the short sketch tells most pairs apart
-                keep = near(np.bitwise_count(sk[a] ^ sk[b]).sum(axis=1, dtype=np.int64), a, b)
-                a, b = a[keep], b[keep]
+            # short sketches tell some pairs apart
+            keep = near(np.bitwise_count(half[a] ^ half[b]).sum(axis=1, dtype=np.int64), a, b)
+            a, b = a[keep], b[keep]
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
                 if label[x] != label[y]:
                     words = min(len(whole[x]), len(whole[y]))
@@ -677,7 +616,9 @@ def joined(documents: DataFrame, text: str, key: str, every_link: bool = False)
             break
         remove_tree(spark, found_at)
         spread *= 16
-    near = near_by_sketch(found.where("key is null").select("a", "b").distinct(), classes)
+    # a pair with too few common segments has others in large groups, if it is one
+    often = found.where("key is null").groupBy("a", "b").agg(F.sum("times").alias("times")).where(F.col("times") >= SHARED)
+    near = near_by_sketch(often.select("a", "b"), classes)
     pairs, pairs_at = stash(near, "near")
     groups, groups_at = stash(found.where("key is not null").select("key", F.col("a").alias("sid")).distinct().join(classes.select("sid", "cid"), "sid").select("key", "cid"), "groups")
     remove_tree(spark, found_at)
@@ -713,7 +654,7 @@ def links_within(rows: DataFrame, classes: DataFrame, roots: DataFrame, every_li
     placed = members.join(total.withColumn("n_blocks", F.when(F.col("m") > 2, n_blocks).otherwise(1)), "root").drop("n_shingles")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("cid"), "n_blocks").cast("int"))
     shingles = classes.join(roots, "cid").agg(F.sum("n_shingles")).first()[0] or 0
-    tasks = F.lit(max(8, shingles // (4 * BUCKET_KEYS) + 1))
+    tasks = F.lit(max(8, shingles // TASK_SHINGLES + 1))
 
     def compared(wanted: DataFrame, x: Column, y: Column) -> DataFrame:
         """``wanted``: members with what they are known to be connected with, and the blocks (other) that they meet."""
