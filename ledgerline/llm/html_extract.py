@@ -2,18 +2,23 @@
 
 A page's tokens are its block tags, balanced, with the text between them. The first page of a host is its wrapper; every
 further page is aligned with it. Where both have the same tag they go on inside; text that differs becomes a slot, what
-only one side has becomes optional, and neighbours (or short sequences of neighbours) of one kind become a repeated
+only one side has becomes optional, and neighbours (or sequences of neighbours) of one kind become a repeated
 group. Aligning is associative enough to be done on parts: each task aligns its pages of a host, then the few wrappers of
 a host are aligned in two rounds, so a hot host never meets in one task as pages.
 
-A host's wrapper says where text varies and how much of it there is. Its content fields are the slots inside the article
-(or main, or content) element, else all slots of the page; menus, headers, footers, sidebars, notices, adverts, forms and
-comments are no fields. Of a host's only page all other text is a field. Pages are then read by the fields of their host; a page of another layout, of which these give
-less than half of what the page's own wrapper gives, is read by the latter.
+The wrapper decides what is text of the page: its slots are fields. Text that at least ``SAME`` different pages of the
+host have in one place is no field, wherever it stands, an article included (its ``h1`` excepted, for near copies of a page
+share it); with fewer pages nothing tells what is constant, and all is a field. Slots within menus, headers, footers,
+sidebars, notices, adverts, forms and comments, told by tag or by words of class, id and role, are no fields either. A
+field's rank is 2 in an article, 1 in main, else 0. A page is read by the fields of its host: by those of the highest rank
+that hold at least ``NAMED_PART`` of the text of all its fields, so pages of several templates of a host are read each by
+what it has. A page of a
+rarer layout, which has more text at places that the host's wrapper lacks than at its fields, is read by the fields of its
+own wrapper too.
 
 Defined results. A null or empty page has the text ''. A null url belongs to the host ''. Repeated rows each get their
-row. Tags that are never closed end with what holds them. Empty tables give empty tables. Extra columns pass through;
-``host`` and ``main_text`` replace columns of those names.
+row and count once for the wrapper. Tags that are never closed end with what holds them; they may be nested to any depth.
+Empty tables give empty tables. Extra columns pass through; ``host`` and ``main_text`` replace columns of those names.
 """
 
 from __future__ import annotations
@@ -21,10 +26,11 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Generator, Iterable, Iterator
 from difflib import SequenceMatcher
 from html import unescape
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +45,12 @@ VOID = frozenset("hr br img input meta link area base col embed source track wbr
 ENDS_PARAGRAPH = BLOCKS - frozenset("html body head button label legend td th tr thead tbody tfoot caption".split())
 ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 NEVER = frozenset("head nav footer aside form dialog menu button select label legend search".split())
-#: Words of class, id or role that name what is no content.
-ASIDE = frozenset("ad ads adverts advert advertisement banner cookie cookies consent notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond replies promo sponsor sponsored share sharing social related newsletter subscribe subscription toolbar widget widgets pagination pager contentinfo complementary search login signup".split())
-#: Words of class, id or role that name content.
-CONTENT = frozenset("article content main post entry story body text".split())
-LONGEST_SEQUENCE = 4
-#: A page is read by its own wrapper if its host's fields give less than this share of what that gives.
-SMALL_PART = 0.5
+#: Words of class, id or role that name menus, headers, footers, sidebars, notices, adverts and reader comments.
+ASIDE = frozenset("menu nav navbar navigation breadcrumb breadcrumbs pagination pager masthead footer contentinfo sidebar complementary cookie cookies consent notice notices alert popup modal overlay ad ads advert adverts advertisement banner promo sponsor sponsored comment comments disqus respond replies".split())
+#: Different pages that must have a text in one place for it to be the host's and not theirs.
+SAME = 3
+#: The least part of a page's fields that an article or main element must hold to be what is read.
+NAMED_PART = 0.25
 #: Wrappers that a task holds before it passes them on.
 HELD = 2000
 
@@ -115,48 +120,59 @@ def blocks(html: str | None) -> Iterator[tuple[str, str | None]]:
 
 
 # A wrapper's node is a list. Element: [kind, repeated, optional, children]. Text: ["#", optional, mark of the text or
-# None for a slot, characters]. Sequence of neighbours that repeats: ["()", True, optional, children]. A host's root is
-# ["", mark of a page, whether pages differ, children]; that of a page alone is ["", False, False, children].
+# None for a slot, characters, marks of pages that have it (at most SAME)]. Sequence of neighbours that repeats:
+# ["()", True, optional, children]. A root is ["", whether pages differ, False, children].
 
 
 def tree(html: str | None) -> list:
     """A page's own wrapper."""
-    return grown(blocks(html))
+    return grown(blocks(html), zlib.crc32((html or "").encode()))
 
 
-def grown(stream: Iterable[tuple[str, str | None]]) -> list:
+def grown(stream: Iterable[tuple[str, str | None]], page: int = 0) -> list:
     """The wrapper of one page's token stream."""
     root: list = ["", False, False, []]
     stack = [root]
     for kind, text in stream:
         if kind == "#":
-            stack[-1][3].append(["#", False, f"{zlib.crc32(text.encode()):x}.{len(text)}", len(text)])
+            stack[-1][3].append(["#", False, f"{zlib.crc32(text.encode()):x}.{len(text)}", len(text), [page]])
         elif kind:
             node = [kind, False, False, []]
             stack[-1][3].append(node)
             stack.append(node)
         else:
             done = stack.pop()
-            done[3] = folded(done[3])
+            done[3] = run(folded(done[3]))
     while len(stack) > 1:
         done = stack.pop()
-        done[3] = folded(done[3])
-    root[3] = folded(root[3])
+        done[3] = run(folded(done[3]))
+    root[3] = run(folded(root[3]))
     return root
 
 
-def aligned(a: list, b: list) -> list:
+def run(step: Generator) -> list:
+    """The result of a generator that yields the generators whose results it waits for: recursion of any depth."""
+    stack, value = [step], None
+    while stack:
+        try:
+            step, value = stack[-1].send(value), None
+            stack.append(step)
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
+def aligned(a: list, b: list) -> Generator:
     """The wrapper of what two nodes of one kind match."""
     if a[0] == "#":
-        return ["#", a[1] or b[1], a[2] if a[2] == b[2] else None, a[3] + b[3]]
-    return [a[0], a[1] or b[1], a[2] or b[2], together(a[3], b[3])]
+        return ["#", a[1] or b[1], a[2] if a[2] == b[2] else None, a[3] + b[3], sorted({*a[4], *b[4]})[:SAME]]
+    return [a[0], a[1] or b[1], a[2] or b[2], (yield together(a[3], b[3]))]
 
 
 def host_aligned(a: list, b: list) -> list:
     """The wrapper of two wrappers of a host."""
-    out = aligned(a, b)
-    out[1:3] = a[1], a[2] or b[2] or a[1] != b[1]
-    return out
+    return run(aligned(a, b))
 
 
 def optional(node: list) -> list:
@@ -167,36 +183,41 @@ def shape(node: list) -> str:
     return node[0] if node[0] != "()" else "(" + " ".join(shape(c) for c in node[3]) + ")"
 
 
-def together(xs: list, ys: list) -> list:
+def together(xs: list, ys: list) -> Generator:
     """Children of both: the same ones aligned, the others optional."""
     for have, other in ((xs, ys), (ys, xs)):
         for group in [n for n in have if n[0] == "()"]:
             kinds = [shape(c) for c in group[3]]
             if shape(group) not in [shape(n) for n in other]:
-                other[:] = gathered(other, kinds, 1)
+                other[:] = yield gathered(other, kinds, 1)
     a, b = [shape(n) for n in xs], [shape(n) for n in ys]
-    if a == b:
-        return [aligned(x, y) for x, y in zip(xs, ys, strict=True)]
     out = []
-    for what, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+    same = [("equal", 0, len(a), 0, len(b))] if a == b else SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    for what, i, j, k, m in same:
         if what == "equal":
-            out += [aligned(x, y) for x, y in zip(xs[i:j], ys[k:m], strict=True)]
+            for x, y in zip(xs[i:j], ys[k:m], strict=True):
+                out.append((yield aligned(x, y)))
         else:
             out += [optional(n) for n in xs[i:j]] + [optional(n) for n in ys[k:m]]
-    return folded(out)
+    return out if a == b else (yield folded(out))
 
 
-def gathered(nodes: list, kinds: list[str], least: int) -> list:
+def gathered(nodes: list, kinds: list[str], least: int) -> Generator:
     """Runs of at least ``least`` occurrences of a sequence of kinds become one repeated group."""
     out, i, n = [], 0, len(kinds)
+    shapes = [shape(x) for x in nodes]
     while i < len(nodes):
         group, times, j = None, 0, i
-        while [shape(x) for x in nodes[j : j + n]] == kinds:
-            part = ["()", True, False, nodes[j : j + n]]
-            group = part if group is None else ["()", True, False, [aligned(x, y) for x, y in zip(group[3], part[3], strict=True)]]
+        while shapes[j : j + n] == kinds:
+            part = nodes[j : j + n]
+            if group is None:
+                group = part
+            else:
+                for k in range(n):
+                    group[k] = yield aligned(group[k], part[k])
             times, j = times + 1, j + n
         if times >= least:
-            out.append(group)
+            out.append(["()", True, False, group])
             i = j
         else:
             out.append(nodes[i])
@@ -204,24 +225,29 @@ def gathered(nodes: list, kinds: list[str], least: int) -> list:
     return out
 
 
-def folded(nodes: list) -> list:
-    """Neighbours of one kind, then short sequences of kinds that repeat, become repeated groups."""
+def folded(nodes: list) -> Generator:
+    """Neighbours of one kind, then sequences of kinds that repeat, become repeated groups."""
     out: list = []
     for node in nodes:
         if out and out[-1][0] == node[0] and node[0] not in ("()", "#"):
-            out[-1] = aligned(out[-1], node)
+            out[-1] = yield aligned(out[-1], node)
             out[-1][1] = True
         elif out and node[0] == "()" and shape(out[-1]) == shape(node):
-            out[-1] = aligned(out[-1], node)
+            out[-1] = yield aligned(out[-1], node)
         else:
             out.append(node)
-    for n in range(2, LONGEST_SEQUENCE + 1):
-        i = 0
-        while i + 2 * n <= len(out):
-            kinds = [shape(x) for x in out[i : i + n]]
-            if kinds == [shape(x) for x in out[i + n : i + 2 * n]]:
-                out = gathered(out, kinds, 2)
-            i += 1
+    n = 2
+    while 2 * n <= len(out):
+        shapes = [shape(x) for x in out]
+        number = {x: k for k, x in enumerate(shapes)}
+        code = np.array([number[x] for x in shapes])
+        # a place from which n neighbours are the same as the n after them
+        same = np.append(0, np.cumsum(code[:-n] == code[n:]))
+        at = np.flatnonzero(same[n:] - same[:-n] == n)
+        if len(at):
+            out = yield gathered(out, shapes[at[0] : at[0] + n], 2)
+        else:
+            n += 1
     return out
 
 
@@ -235,63 +261,102 @@ def pattern(node: list) -> str:
     return f"({inner})" + "+" * bool(repeated) + "?" * opt if repeated or opt else inner
 
 
+def written(node: list) -> str:
+    """A wrapper as JSON, flat, however deep it is."""
+    flat: list = []
+    waiting: list = [node]
+    while waiting:
+        n = waiting.pop()
+        if n is None or n[0] == "#":
+            flat.append(n)
+        else:
+            flat.append(n[:3])
+            waiting.append(None)
+            waiting += reversed(n[3])
+    return json.dumps(flat, separators=(",", ":"))
+
+
+def reread(text: str) -> list:
+    """The wrapper that was written."""
+    top: list = ["", False, False, []]
+    stack = [top]
+    for n in json.loads(text):
+        if n is None:
+            stack.pop()
+            continue
+        stack[-1][3].append(n)
+        if n[0] != "#":
+            n.append([])
+            stack.append(n)
+    return top[3][0]
+
+
 def is_aside(kind: str, inside: bool) -> bool:
     tag, *words = kind.split(".")
     return tag in NEVER or (tag == "header" and not inside) or any(w in ASIDE for w in words)
 
 
-def is_content(kind: str) -> bool:
-    tag, *words = kind.split(".")
-    return tag in ("article", "main") or (tag in ("div", "section", "td") and any(w in CONTENT for w in words))
+RANKS = {"article": 2, "main": 1}
+
 
+def below(path: int, kind: str) -> int:
+    """The number of the path of an element of this kind."""
+    return ((path ^ zlib.crc32(kind.encode())) * 0x9E3779B97F4A7C15 + (path >> 29)) % (1 << 62)
 
-def fields(wrapper: list) -> list[str]:
-    """Paths of a wrapper's content fields."""
-    found: list[tuple[str, int, int, bool]] = []  # path, rank of what holds it, characters that vary, constant
 
-    def down(node: list, path: str, rank: int) -> None:
+def fields(wrapper: list) -> dict[int, int]:
+    """Paths of a wrapper's texts with their ranks; the rank is -1 where the host's pages all have the same."""
+    ranks: dict[int, int] = {}
+    waiting: list = [(wrapper, 0, 0, "")]
+    while waiting:
+        node, path, rank, tag = waiting.pop()
         for child in node[3]:
             if child[0] == "#":
-                found.append((path, rank, child[3], child[2] is not None))
+                slot = child[2] is None or len(child[4]) < SAME or tag == "h1"
+                ranks[path] = max(ranks.get(path, -1), rank if slot else -1)
             elif child[0] == "()":
-                down(child, path, rank)
+                waiting.append((child, path, rank, tag))
             elif not is_aside(child[0], rank > 0):
-                tag = child[0].split(".")[0]
-                own = 3 if tag == "article" else 2 if tag == "main" else 1 if is_content(child[0]) else 0
-                down(child, f"{path}/{child[0]}", max(rank, own))
+                tag_ = child[0].split(".")[0]
+                waiting.append((child, below(path, child[0]), max(rank, RANKS.get(tag_, 0)), tag_))
+    return ranks
 
-    down(wrapper, "", 0)
-    best = max((r for _, r, _, _ in found), default=0)
-    if best:
-        return sorted({p for p, r, _, _ in found if r == best})
-    # of a single page nothing tells what is constant
-    return sorted((wrapper[2] and {p for p, _, _, constant in found if not constant}) or {p for p, *_ in found})
 
-
-def read(stream: Iterable[tuple[str, str | None]], wanted: set[str]) -> str:
-    """The blocks at the wanted paths, in page order."""
-    path, out = [""], []
+def read(stream: Iterable[tuple[str, str | None]], wanted: dict[int, int]) -> tuple[str, int]:
+    """The blocks at the wanted paths, in page order, of the highest rank that holds enough; and the characters of blocks
+    at other paths."""
+    path, found, other = [0], [], 0
     for kind, text in stream:
         if kind == "#":
-            if path[-1] in wanted:
-                out.append(text)
+            rank = wanted.get(path[-1])
+            if rank is None:
+                other += len(text)
+            elif rank >= 0:
+                found.append((rank, text))
         elif kind:
-            path.append(f"{path[-1]}/{kind}")
+            path.append(below(path[-1], kind))
         else:
             path.pop()
-    return "\n".join(out)
+    whole = sum(len(t) for _, t in found)
+    for rank in sorted({r for r, _ in found}, reverse=True):
+        own = [t for r, t in found if r >= rank]
+        if sum(map(len, own)) >= NAMED_PART * whole:
+            return "\n".join(own), other
+    return "", other
 
 
-def main_text(html: str | None, wanted: set[str]) -> str:
-    """A page's text by its host's fields, or by those of the page alone where the host's give but a small part."""
+def main_text(html: str | None, wanted: dict[int, int]) -> str:
+    """A page's text by its host's fields; where that is less than what the page has at paths that its host's wrapper
+    lacks, by those of its own wrapper too."""
     if not html:
         return ""
     stream = list(blocks(html))
-    text = read(stream, wanted)
-    if len(text) >= SMALL_PART * sum(len(t) + 1 for kind, t in stream if kind == "#"):
-        return text  # the page has no more than that
-    own = read(stream, set(fields(grown(stream))))
-    return own if len(text) < SMALL_PART * len(own) else text
+    text, other = read(stream, wanted)
+    if len(text) >= other:
+        return text
+    own = fields(grown(stream))
+    lacking = read(stream, {k: v for k, v in own.items() if k not in wanted})[0]
+    return read(stream, own | wanted)[0] if len(lacking) > len(text) else text
 
 
 def _host(url):
@@ -306,22 +371,29 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
     def of_pages(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
-        told = lambda: pd.DataFrame([(h, zlib.crc32(f"{h} {json.dumps(w)}".encode()) % 32, json.dumps(w)) for h, w in held.items()], columns=["host", "part", "wrapper"])
+        seen: set[tuple[str, int]] = set()
+
+        def told() -> pd.DataFrame:
+            made = [(h, written(w)) for h, w in held.items()]
+            return pd.DataFrame([(h, zlib.crc32(f"{h} {w}".encode()) % 32, w) for h, w in made], columns=["host", "part", "wrapper"])
+
         for rows in parts:
             for host, page in zip(rows["host"], rows["html"], strict=True):
-                own = tree(page)
-                own[1] = f"{zlib.crc32((page or '').encode()):x}"
-                held[host] = host_aligned(held[host], own) if host in held else own
+                mark = host, zlib.crc32((page or "").encode())
+                if mark not in seen:
+                    seen.add(mark)
+                    held[host] = host_aligned(held[host], tree(page)) if host in held else tree(page)
             if len(held) > HELD:
                 yield told()
                 held.clear()
+                seen.clear()
         yield told()
 
     def of_wrappers(part: pd.DataFrame) -> pd.DataFrame:
         whole = None
         for w in sorted(part["wrapper"]):
-            whole = json.loads(w) if whole is None else host_aligned(whole, json.loads(w))
-        return pd.DataFrame([(part["host"].iat[0], 0, json.dumps(whole))], columns=["host", "part", "wrapper"])
+            whole = reread(w) if whole is None else host_aligned(whole, reread(w))
+        return pd.DataFrame([(part["host"].iat[0], 0, written(whole))], columns=["host", "part", "wrapper"])
 
     bound_batches(pages.sparkSession)
     rows = pages.select(_host(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
@@ -333,7 +405,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     """``pages`` with ``host`` and ``main_text``."""
     spark = pages.sparkSession
     bound_batches(spark)
-    wanted = F.pandas_udf(_fields, "array<string>")
+    wanted = F.pandas_udf(_fields, "array<struct<path:long,rank:int>>")
     path = scratch(spark, "fields")
     infer(pages, url, html).select("host", wanted("wrapper").alias("_fields")).write.parquet(path)
     plans = spark.read.parquet(path).withColumnRenamed("host", "_host")  # its size decides how Spark joins it
@@ -345,12 +417,12 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
 
 def _fields(wrappers: pd.Series) -> pd.Series:
-    return wrappers.map(lambda w: fields(json.loads(w)))
+    return wrappers.map(lambda w: [{"path": p, "rank": r} for p, r in sorted(fields(reread(w)).items())])
 
 
 def _main_text(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for pages, wanted in parts:
-        yield pd.Series([main_text(p, set(w) if w is not None else set()) for p, w in zip(pages, wanted, strict=True)], dtype=object)
+        yield pd.Series([main_text(p, {f["path"]: f["rank"] for f in w} if w is not None else {}) for p, w in zip(pages, wanted, strict=True)], dtype=object)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,17 +256,55 @@ def test_html_on_the_table(spark):
         assert got[p.page_id] == (want, len(want))
 
 
+def test_html_slots_decide(spark):
+    """What a host's pages have in one place goes, wherever it stands; what differs stays, whatever it is called."""
+    share = "<p class='social'>Share this page</p>"
+    page = "<div class='wrap'><div>Our site</div><article><h1>Same title</h1>{0}<p>{1} body</p><section class='share'><p>{1} more</p></section></article><p>All rights</p></div>"
+    plain = "<html><body><div>Our site</div><table><tr><td><h2>{0} head</h2>{0} cell<td>{0} other</table><div>Written by us</div></body></html>"
+    two = "<main><p>{0} in main</p></main><div>{0} x</div>"
+    rows = [(k, "http://a.org/", page.format(share, f"{k} " * 9)) for k in range(6)]
+    rows += [(10 + k, "http://b.org/", plain.format(f"{k}")) for k in range(6)] + [(20 + k, "http://b.org/", plain.format("0")) for k in range(3)]
+    rows += [(30 + k, "http://c.org/", (two if k % 2 else page).format(*(["", f"{k} " * 9] if k % 2 == 0 else [f"{k} " * 9]))) for k in range(8)]
+    rows += [(40 + k, "http://d.org/", "<article><h1>t</h1><p>same for both</p><ul><li>a<li>a</ul></article>" + " " * k) for k in range(2)]
+    got = {r.page_id: r.main_text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    nine = lambda k: " ".join([str(k)] * 9)
+    for k in range(6):
+        assert got[k] == f"Same title\n{nine(k)} body\n{nine(k)} more"
+        assert got[10 + k] == f"{k} head\n{k} cell\n{k} other"
+    assert got[20] == got[21] == got[22] == got[10]
+    for k in range(8):
+        assert got[30 + k] == (f"{nine(k)} in main" if k % 2 else f"Same title\n{nine(k)} body\n{nine(k)} more")
+    assert got[40] == got[41] == "t\nsame for both\na\na"
+
+
+def test_html_of_any_depth_and_width(spark):
+    deep = lambda k: "<div>" * 5000 + f"text {k}" + "</div>" * 5000
+    rng = random.Random(3)
+    wide = lambda k: "".join(f"<{rng.choice(['p', 'h2', 'ul', 'table'])}>w{k}.{i} " for i in range(1500))
+    rows = [(k, "http://deep.org/", deep(k)) for k in range(4)] + [(9, "http://one.org/", deep(9))]
+    rows += [(10 + k, "http://wide.org/", wide(k)) for k in range(3)]
+    got = {r.page_id: r.main_text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in (0, 1, 2, 3, 9):
+        assert got[k] == f"text {k}"
+    for k in range(3):
+        assert got[10 + k].split("\n") == [f"w{k}.{i}" for i in range(1500)]
+
+
 def test_wrappers():
     pages = ["<div><p>a</p><p>b</p><h2>x</h2></div>", "<div><p>c</p><hr><h2>x</h2></div>", "<div><ul><li>1</li><li>2</li></ul><h2>x</h2></div>"]
     whole = None
     for p in pages:
         own = html_extract.tree(p)
-        whole = own if whole is None else html_extract.aligned(whole, own)
+        whole = own if whole is None else html_extract.host_aligned(whole, own)
+    assert html_extract.reread(html_extract.written(whole)) == whole
     assert html_extract.pattern(whole) == "<div> (<ul> (<li> #text </>)+ </>)? (<p> #text </>)+? (<hr>  </>)? <h2> 'text' </> </>".replace("(<ul> (<li> #text </>)+ </>)? (<p> #text </>)+? (<hr>  </>)?", html_extract.pattern(["", 0, 0, whole[3][0][3][:-1]]))
     kinds = {n[0]: n for n in whole[3][0][3]}
     assert kinds["p"][1] and kinds["p"][2] and kinds["hr"][2] and kinds["ul"][2] and not kinds["h2"][2] and kinds["h2"][3][0][2] is not None
+    assert len(kinds["h2"][3][0][4]) == 3
     squares = html_extract.tree("<dl><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd></dl>")
     assert html_extract.pattern(squares) == "<dl> (<dt> #text </> <dd> #text </>)+ </>"
+    six = "<h1>a</h1><p>b</p><h2>c</h2><ul>d</ul><h3>e</h3><ol>f</ol>"
+    assert html_extract.pattern(html_extract.tree(six * 3)) == "(<h1> 'text' </> <p> 'text' </> <h2> 'text' </> <ul> 'text' </> <h3> 'text' </> <ol> 'text' </>)+"
 
 
 def test_pipeline(spark):
