@@ -6,8 +6,9 @@ contained whole, one shingle, the rarest, is a sufficient prefix. Documents are
 probe that lies too near the start or the end for its window (position and length bounds) goes, the rest is compared word
 by word.
 
-The benchmark is cut into blocks of at most ``max_rows`` (window, item) rows. Each block is counted and probed by a scan
-of the documents of its own, so that what is broadcast is bounded whatever the benchmark's size.
+The benchmark is cut into blocks of about ``max_rows`` (window, item) rows. Each block is counted and probed by a scan
+of the documents of its own, so that what is broadcast is bounded whatever the benchmark's size; only hits are written
+between blocks.
 
 Defined results. A null text has no words and no hits. An item without words has no windows; hits of an item with a null
 id count, but it is not listed. Repeated documents each get their row, repeated items count once. Empty tables give no
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm._common import bound_batches, checkpoint, table
+from ledgerline.llm._common import bound_batches, checkpoint, scratch, table
 
 WINDOW = 10
 SHINGLE = 3
@@ -80,8 +81,6 @@ class Block:
         self.window = np.full((len(cut), width), -1, dtype=np.int32)
         for k, w in enumerate(cut):
             self.window[k, : len(w)] = [self.words.setdefault(x, len(self.words)) for x in w]
-        if len(self.words) >= (1 << BITS) - 1:
-            raise ValueError("a block has too many words for its shingle numbers")
         self.sizes = sorted({min(SHINGLE, n) for n in self.lengths.tolist()})
         # every shingle of every window: its number, window and offset
         at: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -211,7 +210,7 @@ def _frequencies(documents: DataFrame, text: str, block: Block) -> np.ndarray:
         found = np.flatnonzero(total)
         yield pd.DataFrame({"shingle": found, "n": total[found]})
 
-    counted = documents.select(F.col(f"`{text}`").alias("text")).mapInPandas(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toPandas()
+    counted = documents.select(F.col(f"`{text}`").cast("string").alias("text")).mapInPandas(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(block.shingles), dtype=np.int64)
     out[counted["shingle"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
     return out
@@ -222,31 +221,50 @@ def find(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     spark = documents.sparkSession
     bound_batches(spark)
     rows = checkpoint(window_rows(benchmark, item, item_text, window))
-    n_blocks = max(1, -(-rows.count() // max_rows))
-    out = documents.drop("n_words", "hits", "items")
-    names = []
-    for k in range(n_blocks):
-        part = rows if n_blocks == 1 else rows.where(F.pmod(F.xxhash64("window", "item"), F.lit(n_blocks)) == k)
-        block = Block([(r.item, r.window) for r in part.collect()])
-        block.choose(_frequencies(documents, text, block))
-        names.append(f"_hits_{k}")
-        out = out.withColumn(names[-1], prober(spark.sparkContext.broadcast(block))(F.col(f"`{text}`").cast("string")))
-        if k + 1 < n_blocks:
-            out = checkpoint(out)
-    first = F.col(names[0])
+    # twice as many words as a block may have on average still have numbers of their own
+    n_blocks = max(1, -(-rows.count() // min(max_rows, max(1, (1 << BITS - 1) // window))))
+
+    def block(k: int) -> Block:
+        made = Block([(r.item, r.window) for r in (rows if n_blocks == 1 else rows.where(F.pmod(F.xxhash64("window", "item"), F.lit(n_blocks)) == k)).collect()])
+        made.choose(_frequencies(documents, text, made))
+        return made
+
+    kept = [F.col(f"`{c}`") for c in documents.columns if c not in ("n_words", "hits", "items")]
+    whole = documents.select(F.struct(*kept).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    spans = lambda starts, ends: F.arrays_zip(starts.alias("start"), ends.alias("end"))
     if n_blocks == 1:
-        spans, items = F.arrays_zip(first["starts"].alias("start"), first["ends"].alias("end")), first["items"]
-    else:
-
-        def unite(starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
-            both = [merged(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) for a, b in zip(starts, ends, strict=True)]
-            return pd.DataFrame({"starts": [x[0] for x in both], "ends": [x[1] for x in both]})
-
-        every = lambda f: F.flatten(F.array(*[F.col(n)[f] for n in names]))
-        out = out.withColumn("_all", F.pandas_udf(unite, "starts array<int>, ends array<int>")(every("starts"), every("ends")))
-        spans, items = F.arrays_zip(F.col("_all.starts").alias("start"), F.col("_all.ends").alias("end")), F.array_sort(F.array_distinct(every("items")))
-    kept = [F.col(f"`{c}`") for c in out.columns if not c.startswith("_hits_") and c != "_all"]
-    return out.select(*kept, first["n_words"].alias("n_words"), spans.alias("hits"), items.alias("items"))
+        found = whole.withColumn("found", prober(spark.sparkContext.broadcast(block(0)))(F.col("text")))
+        return found.select("row.*", "found.n_words", spans(F.col("found.starts"), F.col("found.ends")).alias("hits"), F.col("found.items").alias("items"))
+    # hits depend on the text alone: those of each block are written by the text's hashes and joined once
+    hashes = {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text")}
+    folder = scratch(spark, "hits")
+    for k in range(n_blocks):
+        found = whole.select("text").withColumn("found", prober(spark.sparkContext.broadcast(block(k)))(F.col("text"))).where(F.size("found.starts") > 0)
+        found.select(*[c.alias(n) for n, c in hashes.items()], "found.starts", "found.ends", "found.items", F.lit(k).alias("block")).dropDuplicates(["h1", "h2"]).write.parquet(f"{folder}/block={k}")
+    every = spark.read.schema("h1 long, h2 long, starts array<int>, ends array<int>, items array<string>").parquet(*[f"{folder}/block={k}" for k in range(n_blocks)])
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")]
+    every = every.groupBy("h1", "h2").agg(*lists).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.pandas_udf(_unite, SPANS)("starts", "ends").alias("all"), F.array_sort(F.array_distinct("items")).alias("items"))
+    rows = whole.withColumns(hashes)
+    joined = rows.join(every, (rows.h1 == every.g1) & (rows.h2 == every.g2), "left")
+    some = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    return joined.select(
+        "row.*",
+        F.pandas_udf(_n_words, "long")("text").alias("n_words"),
+        spans(some(F.col("all.starts"), "array<int>"), some(F.col("all.ends"), "array<int>")).alias("hits"),
+        some(F.col("items"), "array<string>").alias("items"),
+    )
+
+
+SPANS = "starts array<int>, ends array<int>"
+
+
+def _unite(starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    both = [merged(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) for a, b in zip(starts, ends, strict=True)]
+    return pd.DataFrame({"starts": [x[0] for x in both], "ends": [x[1] for x in both]})
+
+
+def _n_words(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: len(words_of(t))).astype("int64")
 
 
 def n_hit(hits: Column) -> Column:

@@ -6,8 +6,8 @@ ones included, so that a few words do not decide alone. As the softmax is linear
 and one count per word, which workers remember, so whole texts of any length are read once. Long words, such as texts
 without spaces, hardly come again: their n-grams are counted in pieces where they are, and not remembered.
 
-Defined results. A null or empty text has no features and gets the score of the bias alone (as do blank features). Null labels and labels of
-unknown documents teach nothing; with labels of one class only, or none, every score is 1 or the prior 0.5. Repeated
+Defined results. A null or empty text has no features and gets the score of the bias alone (as do blank features). Labels other than 0 and 1, null
+ones, and labels of unknown documents teach nothing; with labels of one class only, or none, every score is 1 or the prior 0.5. Repeated
 rows each get their row. Empty tables give empty tables. Extra columns pass through; ``score`` replaces a column of
 that name.
 """
@@ -151,7 +151,7 @@ def train(texts: list[str], labels: np.ndarray, bits: int = 17, dim: int = 8, ep
 
 def sample(documents: DataFrame, labels: DataFrame, label: str, key: str, text: str, most: int) -> pd.DataFrame:
     """At most ``most`` labelled texts whose identifier is not held out, the first by a hash of it."""
-    rows = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull() & ~held_out(F.col(f"`{key}`")))
+    rows = labels.where(F.col(f"`{label}`").isin(0, 1) & F.col(f"`{key}`").isNotNull() & ~held_out(F.col(f"`{key}`")))
     rows = rows.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{label}`").cast("int").alias("_label")).distinct()
     rows = rows.orderBy(F.md5(F.col("_key").cast("string")), "_key", "_label").limit(most)  # bounded, so it may be broadcast
     found = documents.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text")).join(F.broadcast(rows), "_key")

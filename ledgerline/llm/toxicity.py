@@ -9,7 +9,7 @@ more rare words than labels.
 Categories are 0/1 columns of the label table in chain order; a name that begins with ``-`` takes the opposite. The
 default chain, ``-quality`` then ``toxic``, is all that the labels of the corpus tell.
 
-Defined results. A null or empty text has no words and gets the probabilities of the biases. Null labels teach nothing.
+Defined results. A null or empty text has no words and gets the probabilities of the biases. Labels other than 0 and 1 teach nothing.
 Without labels, or with labels of one class, a category's probability is the share of ones (0 without labels). Repeated
 rows each get their row. Empty tables give empty tables. Extra columns pass through; output columns replace columns of
 the same names.
@@ -113,10 +113,20 @@ def fit_link(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, l2: floa
     return Link(weights, earlier, bias)
 
 
+def slots_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    words = Words()
+    for texts in parts:
+        yield pd.Series([words.slots(t) for t in texts], dtype=object)
+
+
 def train(texts: list[str], labels: np.ndarray, folds: int = FOLDS) -> list[Link]:
     """The chain for 0/1 labels, a column per category; -1 where unknown."""
     words = Words()
-    rows = [words.slots(t) for t in texts]
+    return train_rows([words.slots(t) for t in texts], labels, folds)
+
+
+def train_rows(rows: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS) -> list[Link]:
+    """The same from the texts' slots, which are bounded in number where texts are not."""
     fold = np.arange(len(rows)) % folds
     before = np.zeros((len(rows), 0))
     chain: list[Link] = []
@@ -134,13 +144,16 @@ def train(texts: list[str], labels: np.ndarray, folds: int = FOLDS) -> list[Link
 
 
 def fit(documents: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, key: str = "doc_id", text: str = "text", most: int = MAX_LABELLED) -> list[Link]:
-    value = lambda c: F.when(F.col(f"`{c.lstrip('-')}`").isNull(), -1).otherwise((1 - F.col(f"`{c[1:]}`")) if c[0] == "-" else F.col(f"`{c}`")).cast("int")
+    value = lambda c: F.when(~F.coalesce(F.col(f"`{c.lstrip('-')}`").isin(0, 1), F.lit(False)), -1).otherwise((1 - F.col(f"`{c[1:]}`")) if c[0] == "-" else F.col(f"`{c}`")).cast("int")
     rows = labels.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("_key"), F.array(*[value(c) for c in chain]).alias("_y")).distinct()
     rows = rows.orderBy(F.md5(F.col("_key").cast("string")), "_key", "_y").limit(most)  # bounded, so it may be broadcast
     found = documents.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text")).join(F.broadcast(rows), "_key")
-    found = found.orderBy(F.md5(F.col("_key").cast("string")), F.md5(F.coalesce("_text", F.lit(""))), "_y").limit(2 * most).toPandas()
+    # the slots of the distinct words come to the driver, not the texts
+    bound_batches(documents.sparkSession)
+    found = found.withColumn("_order", F.md5(F.coalesce("_text", F.lit("")))).withColumn("_slots", F.pandas_udf(slots_of, "array<int>")("_text")).drop("_text")
+    found = found.orderBy(F.md5(F.col("_key").cast("string")), "_order", "_y").limit(2 * most).select("_y", "_slots").toPandas()
     y = np.array(found["_y"].tolist(), dtype=np.int64).reshape(len(found), len(chain))
-    return train(found["_text"].tolist(), y)
+    return train_rows([np.asarray(x, dtype=np.int64) for x in found["_slots"]], y)
 
 
 def score(documents: DataFrame, links: list[Link], chain: tuple[str, ...] = CHAIN, text: str = "text") -> DataFrame:

@@ -44,8 +44,8 @@ RULES = (
     Rule("net", "/fr/", "block"),
 )
 
-#: A rule list is a parameter of the job, compiled into one expression; beyond this many it should be a table.
-MAX_RULES = 500
+#: Rules that are compiled into one expression; more are joined as a table, with the same results.
+COMPILED_RULES = 200
 
 #: The small labelled table: hosts and paths as they are written for each class.
 BLOCKED_URLS = """
@@ -106,8 +106,6 @@ def rule_column(host: Column, path: Column, rules: Iterable[Rule]) -> tuple[Colu
     """The text and verdict of the longest rule that fits; nulls where none does. Of equally long ones the longer host,
     then the lesser text wins."""
     rules = sorted(rules, key=lambda r: (-len(r.text), -len(r.host), r.text))
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are compiled into an expression")
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in reversed(rules):
         fits = ((host == r.host) | host.endswith(f".{r.host}")) & path.startswith(r.path)
@@ -115,6 +113,19 @@ def rule_column(host: Column, path: Column, rules: Iterable[Rule]) -> tuple[Colu
     return text, verdict
 
 
+def rule_rows(urls: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    """(host, path, rule, told) of the distinct hosts and paths that a rule fits, by a join of the host's suffixes with the
+    rules' hosts; the choice among rules is that of :func:`rule_column`."""
+    known = urls.sparkSession.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "r_host string, r_path string, told string")
+    label = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(label)), lambda k: F.array_join(F.slice(label, k, F.size(label)), "."))
+    fits = urls.select("host", "path").distinct().withColumn("suffix", F.explode(suffixes)).join(known, F.col("suffix") == F.col("r_host"))
+    text = F.concat("r_host", "r_path")
+    best = F.min(F.struct((-F.length(text)).alias("a"), (-F.length("r_host")).alias("b"), text.alias("rule"), F.col("told").alias("told")))
+    found = fits.where(F.col("path").startswith(F.col("r_path"))).groupBy("host", "path").agg(best.alias("best"))
+    return found.select("host", "path", "best.rule", "best.told")
+
+
 @dataclass(frozen=True)
 class NgramModel:
     """weights over 2**bits hashed n-grams, and the intercept."""
@@ -186,8 +197,13 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, url: str = "url", rules:
     c = F.col(f"`{url}`")
     rest = [x for x in pages.columns if x not in ("host", "path", "rule", "score", "verdict")]
     out = pages.select(*[F.col(f"`{x}`") for x in rest], host_of(c).alias("host"), path_of(c).alias("path"))
-    rule, told = rule_column(F.col("host"), F.col("path"), rules)
-    out = out.withColumns({"rule": rule, "score": score("host", "path"), "verdict": told})
+    rules = list(rules)
+    if len(rules) > COMPILED_RULES:
+        row = out.select(F.struct(*[F.col(f"`{x}`") for x in rest]).alias("row"), "host", "path")
+        out = row.join(rule_rows(row, rules), ["host", "path"], "left").select("row.*", "host", "path", "rule", score("host", "path").alias("score"), F.col("told").alias("verdict"))
+    else:
+        rule, told = rule_column(F.col("host"), F.col("path"), rules)
+        out = out.withColumns({"rule": rule, "score": score("host", "path"), "verdict": told})
     return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("score") >= threshold, "block").otherwise("allow")))
 
 

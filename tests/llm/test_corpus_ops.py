@@ -43,8 +43,9 @@ TEXTS = [None, "", "!!", "x One two-three four five six seven eight nine TEN ele
 
 @pytest.mark.parametrize("max_rows", [100_000, 4])
 def test_decontaminate(spark, max_rows):
-    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS)] * 2, "doc_id long, text string, hits string")
+    docs = spark.createDataFrame([(i, t, "clash", 1, 2) for i, t in enumerate(TEXTS)] * 2, "doc_id long, text string, hits string, _all int, _hits_0 int")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert decontaminate.find(docs, bench, max_rows=max_rows).columns == ["doc_id", "text", "_all", "_hits_0", "n_words", "hits", "items"]
     out = decontaminate.find(docs, bench, max_rows=max_rows).withColumn("n", decontaminate.n_hit(decontaminate.F.col("hits"))).collect()
     assert len(out) == 2 * len(TEXTS)
     for r in out:

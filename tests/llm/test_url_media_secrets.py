@@ -122,3 +122,32 @@ def test_prefix_sums(spark, n):
         want.append(at)
         at += x
     assert df.first().s == want
+
+
+def test_any_number_of_rules(spark, monkeypatch):
+    rules = [url_filter.Rule(h, p, v) for h, p, v in [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("a.b.net", "/", "allow"), ("b.net", "/es/x", "block"), ("", "/", "block")]]
+    urls = ["http://www.example.com/en/1", "http://example.com/en/", "http://x.com", "http://a.b.net/es/x", "http://c.b.net/es/xy", "http://net/es/", None, "", "http:///", "http://org/en/", "http://example.com/en/"]
+    pages = spark.createDataFrame([(k, u, 3) for k, u in enumerate(urls)], "page_id long, url string, rule int")
+    known = url_filter.labelled_urls(spark)
+    few = sorted(map(tuple, url_filter.filter_urls(pages, known, rules=rules).collect()), key=repr)
+    monkeypatch.setattr(url_filter, "COMPILED_RULES", 2)
+    many = url_filter.filter_urls(pages, known, rules=rules)
+    assert many.columns == ["page_id", "url", "host", "path", "rule", "score", "verdict"]
+    assert sorted(map(tuple, many.collect()), key=repr) == few and len(few) == len(urls)
+    more = rules + [url_filter.Rule(f"h{k}.org", "/", "block") for k in range(1000)]
+    assert sorted(map(tuple, url_filter.filter_urls(pages, known, rules=more).collect()), key=repr) == few
+    assert url_filter.filter_urls(pages.limit(0), known, rules=more).count() == 0
+
+
+def test_url_model_on_held_out_urls(spark):
+    """Of a table half of which the model does not see, nearly all urls of kinds that it has seen are told apart."""
+    rows = sorted(url_filter.labelled_urls(spark).collect())
+    right = total = 0
+    for k in range(4):
+        seen = spark.createDataFrame([r for i, r in enumerate(rows) if i % 4 != k], "url string, label int")
+        rest = [r for i, r in enumerate(rows) if i % 4 == k]
+        model = url_filter.train(seen)
+        hosts, paths = zip(*[url_filter.split_url(r.url) for r in rest], strict=True)
+        right += sum((s >= 0.5) == (r.label == 1) for s, r in zip(model.scores(hosts, paths), rest, strict=True))
+        total += len(rest)
+    assert right / total > 0.7
