@@ -67,8 +67,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
 LEADS = 8
 #: Columns of the matrix by which shared shingles are counted, at a time.
 COLUMNS_AT_ONCE = 4096
-#: Rows of a block whose sketches are compared at once.
-ROWS_AT_ONCE = 64
+#: Rows of a block whose sketches are compared at once, and words of pairs of them.
+ROWS_AT_ONCE, PAIR_WORDS = 64, 1 << 20
 #: Keys that go to one bucket of the segment join, and shingles to one task of the verification, about.
 BUCKET_KEYS, TASK_SHINGLES = 250_000, 4_000_000
 #: Keys that a task holds before it passes them on.
@@ -481,9 +481,13 @@ def across(groups: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame
         column = part.column("sketch").combine_chunks()
         begin = column.offsets.to_numpy()
         values = column.values.to_numpy().view(np.uint64)
-        whole = [values[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
-        least = SKETCHES[0][1]
-        half = np.array([fold(x, least) for x in whole])
+        words = np.diff(begin)
+        # the sketches folded to each length that is compared
+        folded = {w: np.zeros((len(n), w), dtype=np.uint64) for w in np.unique(words).tolist()}
+        for k, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+            for w, held in folded.items():
+                if w <= b - a:
+                    held[k] = fold(values[a:b], w)
         near = lambda apart, x, y: apart * (DENOMINATOR + NUMERATOR) <= (n[x] + n[y]) * (DENOMINATOR - NUMERATOR)
         _, label = np.unique(root, return_inverse=True)  # connected members have one label
         two = part.column("x")[0].as_py() != part.column("y")[0].as_py()
@@ -496,15 +500,17 @@ def across(groups: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame
                 fit &= own != own[i]
             a, b = np.nonzero(fit)
             a += start
-            # short sketches tell some pairs apart
-            keep = near(np.bitwise_count(half[a] ^ half[b]).sum(axis=1, dtype=np.int64), a, b)
-            a, b = a[keep], b[keep]
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            both = np.minimum(words[a], words[b])
+            keep = np.zeros(len(a), dtype=bool)
+            for w, held in folded.items():
+                at = np.flatnonzero(both == w)
+                for part in np.array_split(at, max(1, len(at) * w // PAIR_WORDS)):
+                    x, y = a[part], b[part]
+                    keep[part] = near(np.bitwise_count(held[x] ^ held[y]).sum(axis=1, dtype=np.int64), x, y)
+            for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
                 if label[x] != label[y]:
-                    words = min(len(whole[x]), len(whole[y]))
-                    if near(int(np.bitwise_count(fold(whole[x], words) ^ fold(whole[y], words)).sum()), x, y):
-                        out.append((cid[x], cid[y]))
-                        label[label == label[y]] = label[x]
+                    out.append((cid[x], cid[y]))
+                    label[label == label[y]] = label[x]
         return pa.table(dict(zip(("a", "b"), np.array(out, dtype=np.int64).reshape(-1, 2).T.copy(), strict=True)))
 
     return open_.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
