@@ -85,6 +85,6 @@ def sub_batches(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     data, offsets = texts_of(column)
     a = 0
     while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + 4 * BLOCK_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + 2 * BLOCK_BYTES, "right")) - 1)
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from ledgerline.llm._common import bound_batches, release, remove_tree, stash, table
+from ledgerline.llm._common import bound_batches, give_back, release, remove_tree, stash, table
 from ledgerline.llm.hashing import GOLD, byte_numbers, mix, piece_hashes, sub_batches
 
 WIDTH = 5
@@ -72,9 +72,9 @@ ROWS_AT_ONCE, PAIR_WORDS = 64, 1 << 20
 #: Keys that go to one bucket of the segment join, and shingles to one task of the verification, about.
 BUCKET_KEYS, TASK_SHINGLES = 250_000, 4_000_000
 #: Keys that a task holds before it passes them on.
-HELD_KEYS = 1_000_000
+HELD_KEYS = 600_000
 #: Shingles among which those of several texts are counted at a time.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 #: Sizes up to which a parity sketch has so many 64-bit words; larger sets have the last. Each divides the next, so that a
 #: longer sketch folds (by XOR) into a shorter one of the same set.
 SKETCHES = ((64, 4), (512, 16), (2048, 64), (8192, 256), (None, 512))
@@ -250,6 +250,7 @@ def named_rows(rows: DataFrame) -> DataFrame:
                     yield counted(batch)
         if batch is not None and held:
             yield counted(batch)
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -327,6 +328,8 @@ def candidate_rows(texts: DataFrame, frequent: np.ndarray, buckets: int, spread:
                     yield from dealt()
         if sum(map(len, keys)):
             yield from dealt()
+        seen.clear()
+        give_back()
 
     def join(part: pa.Table) -> pa.Table:
         bucket = part.column("bucket")[0].as_py()
@@ -400,6 +403,7 @@ def shingles_of(texts: DataFrame) -> DataFrame:
                 sets = pa.array([bytes(view[8 * x : 8 * y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), sets], names=[*(f.name for f in fields), "shingles"])
+        give_back()
 
     return texts.mapInArrow(run, StructType([*fields, StructField("shingles", BinaryType())]))
 

@@ -23,14 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm._common import bound_batches, table
+from ledgerline.llm._common import bound_batches, give_back, table
 
 #: Labelled rows that a model is fitted on, at most: the first by a hash of the identifier.
 MAX_LABELLED = 4000
 THRESHOLD = 0.3
 FOLDS = 5
 #: Words that a worker remembers; it forgets them all beyond that.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Lengths of n-grams, which are taken of whole words.
 LOW, HIGH = 2, 4
 #: Words of more characters are not remembered, and read so many bytes at a time; results do not depend on either.
@@ -218,6 +218,8 @@ def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
         scorer = Scorer(shared.value)
         for texts in parts:
             yield pd.Series(scorer.scores(texts))
+        del scorer
+        give_back()
 
     return documents.withColumn("score", F.pandas_udf(apply, "double")(F.col(f"`{text}`").cast("string")))
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm._common import bound_batches, local_path, scratch, table
+from ledgerline.llm._common import bound_batches, give_back, local_path, scratch, table
 from ledgerline.llm.hashing import byte_numbers, piece_hashes, sub_batches
 
 MAGIC = b"LLTOKSS1"
@@ -431,6 +431,7 @@ def write(documents: DataFrame, folder: str, vocabulary: str, key: str = "doc_id
             row = (part, path, len(writer.hashes) // 2, writer.n_tokens, writer.at, *ids, ids[0] is None)
             types = (pa.int32(), pa.string(), *[pa.int64()] * 5, pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["part", "path", "n_docs", "n_tokens", "n_bytes", "first", "last", "nulls"])
+        give_back()
 
     k = F.col(f"`{key}`").cast("long")
     rows = documents.select(k.alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
