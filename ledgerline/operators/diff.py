@@ -84,9 +84,9 @@ def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def set_digest(rows: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
-    """A digest of each group's set of rows, in whatever order they come. Rows become fixed-size digests before they are
-    gathered; the set is a sum of them, so that no group is held in one task."""
-    row = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    """A digest of each group's set of rows, in whatever order they come; a null is no empty text. Rows become hashes of fixed
+    size before they are gathered; the set is the sum of each of their eight words, so that no group is held in one task."""
+    row = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in columns]), 256)
     distinct = rows.select(*group, row.alias("_h")).distinct()
     word = lambda k: F.conv(F.substring("_h", 1 + 8 * k, 8), 16, 10).cast("long")
-    return distinct.groupBy(*group).agg(F.count("*").alias("rows"), *[F.sum(word(k)).alias(f"digest_{k}") for k in range(2)])
+    return distinct.groupBy(*group).agg(F.count("*").alias("rows"), *[F.sum(word(k)).alias(f"digest_{k}") for k in range(8)])

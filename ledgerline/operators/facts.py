@@ -16,11 +16,12 @@ def latest_values(facts: DataFrame, context: list[str], version: str, amount: st
 
 
 def resolved(facts: DataFrame, context: list[str], version: str, amount: str) -> DataFrame:
-    """Per context the latest version's amount; ``ambiguous`` where that version disagrees with itself."""
+    """Per context the latest version's amount; ``ambiguous`` where that version disagrees with itself, ``missing`` where it
+    tells none."""
     newest = facts.groupBy(*context).agg(F.max(version).alias("_v"))
     held = facts.join(newest, context).where(F.col(version) == F.col("_v"))
     agreed = held.groupBy(*context).agg(F.min(amount).alias("low"), F.max(amount).alias("high"), F.first(version).alias(version))
-    status = F.when(F.col("low") == F.col("high"), "found").otherwise("ambiguous")
+    status = F.when(F.col("low").isNull(), "missing").when(F.col("low") == F.col("high"), "found").otherwise("ambiguous")
     return agreed.select(*context, version, status.alias("status"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("amount"))
 
 

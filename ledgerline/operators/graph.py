@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.session import cut_lineage
+
 
 def components(edges: DataFrame, a: str, b: str, checkpoint=None) -> DataFrame:
     """(node, component): the least node that each node is connected with. Every node takes the least label around it
     and then that label's label, until nothing changes; ``checkpoint`` cuts the lineage of each round."""
-    cut = checkpoint or (lambda df: df.checkpoint())
+    cut = checkpoint or cut_lineage
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     both = cut(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("component")))

@@ -61,9 +61,12 @@ def unordered_pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def newest_within(rows: DataFrame, runs: DataFrame, key: str, low: str, high: str, at: str, version: str) -> DataFrame:
-    """For each row the newest version of the runs of its key whose range holds it. The key keeps the range join local."""
-    both = rows.join(runs.select(key, low, high, version), key, "left").withColumn("_v", F.when(F.col(at).between(F.col(low), F.col(high)), F.col(version)))
-    return both.groupBy(*rows.columns).agg(F.max("_v").alias("newest"))
+    """For each row the newest version of the runs of its key whose range holds it. The places are looked up once each: rows
+    that are the same, or lie at the same place, each keep their row."""
+    places = rows.select(key, at).distinct()
+    inside = places.join(runs.select(F.col(key).alias("_key"), low, high, version), (F.col(key) == F.col("_key")) & F.col(at).between(F.col(low), F.col(high)))
+    newest = inside.groupBy(F.col(key).alias("_k"), F.col(at).alias("_at")).agg(F.max(version).alias("newest"))
+    return rows.join(newest, rows[key].eqNullSafe(F.col("_k")) & rows[at].eqNullSafe(F.col("_at")), "left").drop("_k", "_at")
 
 
 def ranked_matches(names: DataFrame, name: str, query: str, limit: int) -> DataFrame:

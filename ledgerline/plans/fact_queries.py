@@ -144,7 +144,7 @@ def scales_and_lengths(s, d):
     return n.select("n_nationkey", numbers.scale_of(phrase).alias("scale"), numbers.points(length).alias("points"), dec.alias("dec"))
 
 
-@query("SELECT c_nationkey, count(*) AS rows, CAST(sum(CAST('0x' || substr(h, 1, 8) AS BIGINT)) AS BIGINT) AS digest_0, CAST(sum(CAST('0x' || substr(h, 9, 8) AS BIGINT)) AS BIGINT) AS digest_1 FROM (SELECT DISTINCT c_nationkey, sha256(c_custkey || chr(1) || c_name) AS h FROM customer) GROUP BY 1")
+@query("SELECT c_nationkey, count(*) AS rows, CAST(sum(CAST('0x' || substr(h, 1, 8) AS BIGINT)) AS BIGINT) AS digest_0, CAST(sum(CAST('0x' || substr(h, 9, 8) AS BIGINT)) AS BIGINT) AS digest_1, CAST(sum(CAST('0x' || substr(h, 17, 8) AS BIGINT)) AS BIGINT) AS digest_2, CAST(sum(CAST('0x' || substr(h, 25, 8) AS BIGINT)) AS BIGINT) AS digest_3, CAST(sum(CAST('0x' || substr(h, 33, 8) AS BIGINT)) AS BIGINT) AS digest_4, CAST(sum(CAST('0x' || substr(h, 41, 8) AS BIGINT)) AS BIGINT) AS digest_5, CAST(sum(CAST('0x' || substr(h, 49, 8) AS BIGINT)) AS BIGINT) AS digest_6, CAST(sum(CAST('0x' || substr(h, 57, 8) AS BIGINT)) AS BIGINT) AS digest_7 FROM (SELECT DISTINCT c_nationkey, sha256('=' || c_custkey || chr(1) || '=' || c_name) AS h FROM customer) GROUP BY 1")
 def set_digests(s, d):
     return diff.set_digest(table(s, d, "customer"), ["c_nationkey"], ["c_custkey", "c_name"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,3 +23,16 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """The frame, checkpointed in the folder that the cluster names. Only a local session, which has one machine, may leave
+    it unset."""
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or f"/tmp/checkpoints/{context.applicationId}")
+    return frame.checkpoint()
