@@ -167,7 +167,7 @@ def packed_chunks(s, d):
 def greedy_turn_pairs(s, d):
     """Sentences of following turns, paired one to one by the overlap of their words, within a conversation."""
     c = table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("conv"), "turn", "text")
-    cut = diff.sentence_rows(c, ["conv", "turn"], "text").withColumn("id", F.col("turn") * 100_000 + F.col("position"))
+    cut = diff.sentence_rows(c, ["conv", "turn"], "text").withColumn("id", F.col("turn") * (1 << 32) + F.col("position"))
     words = cut.select("conv", "turn", "id", F.explode(F.array_distinct(T.words(F.col("sentence")))).alias("w"), F.size(F.array_distinct(T.words(F.col("sentence")))).alias("n"))
     a, b = words.where("turn % 2 = 0"), words.where("turn % 2 = 1").select("conv", "w", F.col("turn").alias("turn2"), F.col("id").alias("id2"), F.col("n").alias("n2"))
     shared = a.join(b, ["conv", "w"]).where("turn2 = turn + 1").groupBy("conv", "id", "id2", "n", "n2").agg(F.count("*").alias("k"))
