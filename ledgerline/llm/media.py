@@ -224,7 +224,7 @@ def inspect(files: pd.Series) -> pd.DataFrame:
     return out.astype({x: "Int64" for x in ("width", "height", "timescale", "duration", "n_samples")})
 
 
-DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration long, timescale long, keyframes string"
 
 
 def digest(files: pd.Series) -> pd.DataFrame:
@@ -235,9 +235,9 @@ def digest(files: pd.Series) -> pd.DataFrame:
         samples = t.samples()
         payload = read_back(media, t, samples)
         keys = key_ranges(t, samples)
-        ranges = hashlib.sha256(",".join(f"{a}+{b}" for a, b in keys).encode()).hexdigest()[:16]
-        feature = f"codec={t.codec.strip()};size={t.width}x{t.height};duration={t.length()}/{t.timescale};samples={len(samples)};keyframes={len(keys)};first={keys[0][0]}+{keys[0][1]};ranges={ranges}"
-        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+        ranges = ",".join(f"{a}+{b}" for a, b in keys)
+        feature = f"codec={t.codec.strip()};size={t.width}x{t.height};duration={t.length()}/{t.timescale};samples={len(samples)};keyframes={len(keys)};first={keys[0][0]}+{keys[0][1]}"
+        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, t.codec, t.length(), t.timescale, ranges))
     return pd.DataFrame(rows, columns=[x.split()[0] for x in DIGEST.split(", ")])
 
 

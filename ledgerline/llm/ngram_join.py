@@ -695,4 +695,24 @@ def links_within(rows: DataFrame, classes: DataFrame, roots: DataFrame, every_li
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = join(table(spark, sf_dir, "documents").select("doc_id", "text"), links=True)
-    return out.select("doc_id", "n_shingles", "component_id", F.col("class").alias("class_id"), "n_links")
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END)) AS g FROM w
+),
+c AS (SELECT row_number() OVER () AS c, g, least, len(g) AS n FROM (SELECT g, min(doc_id) AS least FROM s WHERE len(g) > 0 GROUP BY g)),
+x AS (SELECT c, n, unnest(g) AS t FROM c),
+p AS (SELECT a.c AS a, b.c AS b, a.n + b.n AS n, count(*) AS k FROM x a JOIN x b ON a.t = b.t AND a.c < b.c GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * k >= 75 * (n - k) UNION ALL SELECT b, a FROM p WHERE 100 * k >= 75 * (n - k)),
+reach AS (SELECT c AS a, c AS b FROM c UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+found AS (SELECT a, min(least) AS component_id FROM reach JOIN c ON c.c = reach.b GROUP BY a),
+links AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CASE WHEN len(s.g) = 0 THEN doc_id ELSE component_id END AS component_id, coalesce(n_links, 0) AS n_links
+FROM s LEFT JOIN c ON c.g = s.g LEFT JOIN found ON found.a = c.c LEFT JOIN links ON links.a = c.c
+"""

@@ -24,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_mix_sources": mixing.ORACLE,
+    "op7_ngram_join": ngram_join.ORACLE,
 }

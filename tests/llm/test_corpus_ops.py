@@ -226,3 +226,56 @@ def test_chain_uses_earlier_predictions():
     first = np.array([t.startswith("w1") for t in texts], dtype=int)
     links = toxicity.train(texts, np.column_stack([first, first]))
     assert links[1].earlier[0] > 0
+
+
+def plain_quality(model, text):
+    """A text's score, feature by feature."""
+    words, own, total, n = (text or "").split(), len(model.slots) - 1, 0.0, quality.EMPTY
+    for k, w in enumerate(words):
+        data = f"<{w}>".encode()
+        slots = [zlib.crc32(w.encode()) % own + 1]
+        for size in (2, 3, 4):
+            for i in range(len(data) - size + 1):
+                gram = size
+                for c in data[i : i + size]:
+                    gram = (gram << 8 | c) & (1 << 64) - 1
+                slots.append((gram * 0x9E3779B97F4A7C15 % (1 << 64) >> 33) % own + 1)
+        if k and words[k - 1] == w:
+            slots += [0] * quality.REPEAT_TIMES
+        total += sum(float(model.slots[s]) for s in slots)
+        n += len(slots)
+    return 1 / (1 + math.exp(-max(-40, min(40, total / n + model.bias))))
+
+
+def test_quality_scores_by_brute_force(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").limit(60).collect()
+    texts = [None, "", "a a a", "x" * 70_000, "é" * 100 + " short", *[d.text for d in docs]]
+    model = quality.fit(spark.read.parquet(f"{MIDDLE}/documents.parquet"), spark.read.parquet(f"{MIDDLE}/labels.parquet"), most=100)
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    for r in quality.score(rows, model).collect():
+        assert r.score == pytest.approx(plain_quality(model, texts[r.k]), abs=1e-6)
+
+
+def test_labels_other_than_zero_and_one(spark):
+    docs = spark.createDataFrame([(k, "good words here" if k % 2 else "%%% bad") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, (k % 2) if k < 30 else 7, None if k > 20 else 3 if k == 5 else k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    scores = {r.doc_id % 2: r.score for r in quality.score(docs, model).collect()}
+    assert scores[0] < scores[1]
+    links = toxicity.fit(docs, labels)
+    assert toxicity.score(docs, links).count() == 40 and toxicity.score(docs.limit(0), links).count() == 0
+
+
+def test_toxicity_by_brute_force(spark):
+    """Every probability from the links' weights, word by word."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    links = toxicity.fit(docs, spark.read.parquet(f"{MIDDLE}/labels.parquet"))
+    rows = docs.limit(80).collect()
+    got = {r.doc_id: r for r in toxicity.score(docs, links).collect()}
+    for d in rows:
+        slots = {zlib.crc32(w.encode()) % toxicity.SLOTS for w in re.findall(r"[^\W\d_]+|[^\w\s]+", (d.text or "").lower())}
+        before = []
+        for link in links:
+            z = sum(float(link.weights[s]) for s in slots) + sum(b * e for b, e in zip(before, link.earlier, strict=True)) + link.bias
+            before.append(1 / (1 + math.exp(-max(-40, min(40, z)))))
+        assert (got[d.doc_id].p_not_quality, got[d.doc_id].p_toxic) == pytest.approx(before, abs=1e-9)

@@ -97,6 +97,12 @@ def test_join_on_the_table(spark):
     assert got == {d.doc_id: (sizes[i], docs[roots[i]].doc_id) for i, d in enumerate(docs)}
 
 
+def test_join_sql(spark):
+    from oracles import rows_of_frame, rows_of_sql
+
+    assert rows_of_frame(ngram_join.op7_ngram_join(spark, MIDDLE)) == rows_of_sql(ngram_join.ORACLE, MIDDLE)
+
+
 def test_join_odd_rows(spark):
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, None), (None, "lone words"), (9, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -68,6 +68,19 @@ def test_media_query(spark, small):
     for text, r in zip(texts, out.itertuples()):
         payload = media.padded((text or "").encode())
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        # key frames' ranges are where the payload's bytes are
+        file = bytes(rows.media[r.Index])
+        ranges = [tuple(map(int, x.split("+"))) for x in r.keyframes.split(",")]
+        assert r.codec == rows.media_info[r.Index]["codec"] and r.duration == rows.media_info[r.Index]["duration"] > 0
+        assert ranges == [(k["offset"], k["length"]) for k in rows.media_info[r.Index]["keyframes"]]
+        assert all(file[a : a + n] in payload for a, n in ranges) and file[ranges[0][0] :].startswith(payload[:576])
+    by_id = {d.doc_id: d.text for d in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in media.op4_media_columns(spark, small).collect():
+        data = (by_id[r.doc_id] or "").encode()
+        payload = data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+    empty = spark.createDataFrame([], "doc_id long, text string, media string")
+    assert media.with_features(media.store(empty)).count() == 0
     assert media.inspect(pd.Series([None, b"junk", b"", b"\0\0\0\x09moov"])).error.notna().all()
     assert media.op4_media_columns(spark, small).count() == spark.read.parquet(f"{small}/documents.parquet").count()
 
@@ -151,3 +164,32 @@ def test_url_model_on_held_out_urls(spark):
         right += sum((s >= 0.5) == (r.label == 1) for s, r in zip(model.scores(hosts, paths), rest, strict=True))
         total += len(rest)
     assert right / total > 0.7
+
+
+def test_url_scores_by_brute_force(spark, small):
+    """Every page's verdict from the definition: rules by a loop, else the model's weights n-gram by n-gram."""
+    model = url_filter.train(url_filter.labelled_urls(spark))
+
+    def score(host, path):
+        total = n = 0
+        for mark, text in (("h", host), ("p", path)):
+            data = ("^" + "".join("0" if c.isdigit() and c.isascii() else c for c in text) + "$").encode()
+            for size in (3, 4, 5):
+                for k in range(len(data) - size + 1):
+                    total += model.weights[zlib.crc32(data[k : k + size], zlib.crc32(mark.encode())) % len(model.weights)]
+                    n += 1
+        return 1 / (1 + 2.718281828459045 ** -(total / n**0.5 + model.bias)) if host else 0.0
+
+    pages = {p.page_id: p.url for p in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    rows = url_filter.op3_url_filter(spark, small).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        host, path = url_filter.split_url(pages[r.page_id])
+        fits = [x for x in url_filter.RULES if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+        best = max(fits, key=lambda x: len(x.text), default=None)
+        want = best.verdict if best else "block" if score(host, path) >= 0.5 else "allow"
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, best.text if best else None, want)
+        assert abs(r.score - score(host, path)) < 1e-9
+    odd = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (2, "HTTP://EXAMPLE.com/en/", "x")], "page_id long, url string, score string")
+    out = url_filter.filter_urls(odd, url_filter.labelled_urls(spark))
+    assert out.columns == ["page_id", "url", "host", "path", "rule", "score", "verdict"] and out.count() == 3 and url_filter.filter_urls(odd.limit(0), url_filter.labelled_urls(spark)).count() == 0
