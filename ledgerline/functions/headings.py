@@ -50,7 +50,7 @@ def is_pointer(item: Column, text: Column, blocks: Column) -> Column:
     whole = T.squeeze(T.fold_typography(text))
     short = blocks.between(1, POINTER_BLOCKS) & F.length(whole).between(1, POINTER_CHARACTERS)
     first = signs_to_spaces(F.regexp_extract(whole, r"^.*?(?:[.!?](?= )|$)", 0))
-    numbered = F.exists(F.array(*[F.lit(rf" {p} \d") for p in NUMBERED_PLACES]), lambda p: F.regexp_like(first, p))
+    numbered = first.rlike(rf" (?:{'|'.join(NUMBERED_PLACES)}) \d")
     return item.isin(*POINTING_ITEMS) & short & phrase_in(first, POINTING_PHRASES) & (phrase_in(first, PLACES) | numbered)
 
 

@@ -229,8 +229,78 @@ def spanning_match(records: DataFrame, document: str, position: str, text: str,
 def paragraph_context(notes: DataFrame, records: DataFrame, key: str, ids: str) -> DataFrame:
     """Notes with the texts of the paragraphs whose ids they name, in order, and how many of them were found."""
     named = notes.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(ids), F.lit("")), F.lit(r"(P\d+)"), F.lit(1)))).alias("id"))
-    told = named.join(records.select("id", "position", "text"), "id", "left").groupBy(key).agg(F.count("*").alias("asked"), F.count("position").alias("found"), F.array_sort(F.collect_list(F.when(F.col("position").isNotNull(), F.struct("position", "id", "text")))).alias("a"))
+    told = named.join(records.select("id", "position", "text"), "id", "left").groupBy(key).agg(F.count("*").alias("asked"), F.count("position").alias("found"), F.array_sort(F.collect_list(F.when(F.col("position").isNotNull(), F.struct("position", "id", "text")))).alias("_told"))
     out = notes.join(told, key, "left")
     kind = F.when(F.col("found") == 1, "single_chunk").otherwise("multi_chunk")
     status = F.when(F.col("asked").isNull(), "no_id").when(F.col("found") == 0, "id_not_found").when(F.col("found") < F.col("asked"), F.concat(kind, F.lit("_partial"))).otherwise(kind)
-    return out.select(*notes.columns, F.array_join(F.transform("a", lambda x: x["id"]), ", ").alias("context_ids"), F.array_join(F.transform("a", lambda x: x["text"]), "\n").alias("context"), status.alias("status"))
+    return out.select(*notes.columns, F.array_join(F.transform("_told", lambda x: x["id"]), ", ").alias("context_ids"), F.array_join(F.transform("_told", lambda x: x["text"]), "\n").alias("context"), status.alias("status"))
+
+
+# ---- outlines and records --------------------------------------------------------------------------------------------
+
+
+def outline(headings_: DataFrame, document: str, order: str, level: str, title: str) -> DataFrame:
+    """Headings with where their part ends: before the next one of their level or above (open at the document's end). Headings
+    of a document meet each other only."""
+    own = headings_.select(document, order, level, title)
+    later = own.select(F.col(document).alias("_d"), F.col(order).alias("_o"), F.col(level).alias("_l"))
+    both = own.join(later, (F.col(document) == F.col("_d")) & (F.col("_o") > F.col(order)) & (F.col("_l") <= F.col(level)), "left")
+    return both.groupBy(document, order, level, title).agg(F.min("_o").alias("end"))
+
+
+def indexed_sections(index: DataFrame, outline_: DataFrame, blocks: DataFrame, document: str, order: str, title: str, pages: DataFrame) -> DataFrame:
+    """Blocks of items by a cross-reference index: its titles name parts of the outline; of these the blocks on the pages that
+    the index allows, each once per item, in order."""
+    key = lambda c: headings.section_key(F.lit(""), F.col(c))
+    parts = outline_.select(document, F.col(order).alias("_begin"), "end", key(title).alias("_k"))
+    named = index.select(document, "item", key(title).alias("_k")).join(parts, [document, "_k"])
+    inside = blocks.join(named, document).where((F.col(order) >= F.col("_begin")) & (F.col("end").isNull() | (F.col(order) < F.col("end"))))
+    return inside.join(pages.select(document, "item", "page").distinct(), [document, "item", "page"], "left_semi").select(document, "item", order, "text").distinct()
+
+
+#: How much the styles of headings stand out, least first.
+STYLE_RANKS = ("plain", "italic", "underlined", "bold", "bold_underlined")
+
+
+def closes(size: Column, style: Column, caps: Column, open_size: Column, open_style: Column, open_caps: Column, tolerance: float = 0.1) -> Column:
+    """Whether a heading ends the part of an open one: a larger one does, of equal size one whose style stands out as much or
+    more; an underlined one in capitals outranks others of any size."""
+    rank = lambda c: F.array_position(F.array(*[F.lit(s) for s in STYLE_RANKS]), c)
+    top = lambda s, c: F.contains(s, F.lit("underlined")) & c
+    by_size = F.when(size.isNull(), False).when(open_size.isNull(), True).when(size > open_size + tolerance, True).when(size < open_size - tolerance, False)
+    by_style = F.when(rank(style) != rank(open_style), rank(style) > rank(open_style)).otherwise(caps | ~open_caps)
+    return F.when(top(open_style, open_caps) & ~top(style, caps), False).when(top(style, caps) & ~F.contains(open_style, F.lit("underlined")) & ~open_caps, True).otherwise(F.coalesce(by_size, by_style))
+
+
+def records(blocks: DataFrame, document: str, item: str, order: str, year: Column, company: Column) -> DataFrame:
+    """Blocks as records: numbered within their item, with ids that name company, year, item and number."""
+    w = Window.partitionBy(document, item).orderBy(order)
+    number = F.row_number().over(w)
+    return blocks.withColumn("index", number).withColumn("id", F.concat_ws("_", F.lower(company), year.cast("string"), item, F.format_string("P%03d", "index")))
+
+
+def sentence_records(chunks: DataFrame, chunk: str, sentences: Column) -> DataFrame:
+    """A record for each sentence of a chunk, numbered from one; a chunk without any has one empty record."""
+    cut = chunks.select(chunk, F.posexplode_outer(sentences).alias("_k", "sentence"))
+    number = F.format_string("%02d", F.coalesce("_k", F.lit(0)) + 1)
+    return cut.select(chunk, F.concat(chunk, F.lit("_S"), number).alias("sentence_id"), F.coalesce("sentence", F.lit("")).alias("sentence"))
+
+
+def compacted(analysis: Column) -> Column:
+    """A change analysis in one shape, whatever wrote it: label, reason and method, from its JSON with the label at the top,
+    under its method, or as a bare text."""
+    at = lambda *paths: F.coalesce(*[F.nullif(F.trim(F.get_json_object(analysis, p)), F.lit("")) for p in paths])
+    bare = F.when(~F.trim(analysis).startswith("{"), F.nullif(F.trim(F.replace(analysis, F.lit('"'), F.lit(""))), F.lit("")))
+    method = F.when(F.get_json_object(analysis, "$.llm").isNotNull(), "llm").when(F.get_json_object(analysis, "$.semantic").isNotNull(), "semantic").when(F.get_json_object(analysis, "$.lexical").isNotNull(), "lexical")
+    label = F.coalesce(at("$.label", "$.change_type", "$.llm.label", "$.semantic.label", "$.lexical.label", "$.llm", "$.semantic", "$.lexical"), bare)
+    return F.struct(F.when(~label.startswith("{"), label).alias("label"), at("$.reason", "$.rationale", "$.llm.reason", "$.semantic.rationale").alias("reason"), F.coalesce(at("$.method"), method).alias("method"))
+
+
+def enriched(notes: DataFrame, records_: DataFrame, key: str, sides: dict[str, str]) -> DataFrame:
+    """Notes with the paragraphs that each side's ids name: ``sides`` maps a side to its column of ids; records have a
+    ``side``."""
+    out = notes
+    for side, ids in sides.items():
+        told = paragraph_context(notes.select(key, ids), records_.where(F.col("side") == side), key, ids)
+        out = out.join(told.select(key, F.col("context").alias(f"{side}_context"), F.col("status").alias(f"{side}_status")), key, "left")
+    return out

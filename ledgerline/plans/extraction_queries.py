@@ -189,3 +189,69 @@ def table_kinds(s, d):
     what = units.measure(cell)
     t = table(s, d, "orders").select("o_custkey", what.alias("m")).groupBy("o_custkey").agg(F.count_if(F.col("m") == "amount").alias("a"), F.count_if(F.col("m") == "year").alias("y"), F.count_if(F.col("m").isNull()).alias("w"))
     return t.select("o_custkey", units.table_kind(F.col("a"), F.col("a"), F.col("y"), F.col("w")).alias("kind"))
+
+
+_OUTLINE = "h AS (SELECT user_id AS doc, event_id AS pos, CASE event_type WHEN 'purchase' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS level FROM events), o AS (SELECT a.doc, a.pos, a.level, min(b.pos) AS \"end\" FROM h a LEFT JOIN h b ON a.doc = b.doc AND b.pos > a.pos AND b.level <= a.level GROUP BY ALL)"
+
+
+def _headings(s, d):
+    t = F.col("event_type")
+    e = table(s, d, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("pos"), F.when(t == "purchase", 1).when(t == "view", 2).otherwise(3).alias("level"))
+    return e.withColumn("title", text_of("Note ", F.col("pos"), ". Part ", F.col("pos") % 50))
+
+
+@query(f"WITH {_OUTLINE} SELECT * FROM o")
+def outlines(s, d):
+    return extraction.outline(_headings(s, d), "doc", "pos", "level", "title").drop("title")
+
+
+@query(f"WITH {_OUTLINE}, i AS (SELECT DISTINCT user_id AS doc, (['1', '7'])[CAST(event_id % 2 + 1 AS INT)] AS item, event_id % 50 AS t FROM events WHERE event_id % 40 IN (3, 8)) SELECT DISTINCT h.doc, item, h.pos FROM i JOIN o ON o.doc = i.doc AND o.pos % 50 = i.t JOIN h ON h.doc = o.doc AND h.pos >= o.pos AND (o.\"end\" IS NULL OR h.pos < o.\"end\") WHERE h.pos % 7 <> 2 OR item = '7'")
+def indexed_sections(s, d):
+    """Blocks of items by an index of titles, on the pages that it allows."""
+    h = _headings(s, d)
+    index = h.where("pos % 40 in (3, 8)").select("doc", F.when(F.col("pos") % 2 == 0, "1").otherwise("7").alias("item"), text_of("Part ", F.col("pos") % 50).alias("title")).distinct()
+    pages = index.select("doc", "item").distinct().withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(6)))).where("page <> 2 or item = '7'")
+    blocks = h.select("doc", "pos", (F.col("pos") % 7).cast("int").alias("page"), F.lit("t").alias("text"))
+    return extraction.indexed_sections(index, extraction.outline(h, "doc", "pos", "level", "title"), blocks, "doc", "pos", "title", pages).select("doc", "item", "pos")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 2 = 0 WHEN s_suppkey % 3 = 1 THEN false ELSE true END AS closes FROM supplier")
+def heading_closes(s, d):
+    k = F.col("s_suppkey")
+    size = F.when(k % 3 == 0, 12.0).when(k % 3 == 1, 10.0).otherwise(14.0)
+    style = F.when(k % 2 == 0, "bold").otherwise("italic")
+    no = F.lit(False)
+    return table(s, d, "supplier").select("s_suppkey", extraction.closes(size, style, no, F.lit(12.0), F.lit("bold"), no).alias("closes"))
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER w AS INT) AS index, 'acme_2024_' || o_orderstatus || '_P' || printf('%03d', row_number() OVER w) AS id FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey)")
+def block_records(s, d):
+    o = table(s, d, "orders").select("o_custkey", "o_orderstatus", "o_orderkey")
+    return extraction.records(o, "o_custkey", "o_orderstatus", "o_orderkey", F.lit(2024), F.lit("Acme")).select("o_orderkey", "index", "id")
+
+
+@query("SELECT s_suppkey, s_suppkey || '_S' || lpad(CAST(i AS VARCHAR), 2, '0') AS sentence_id, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'One ' || i || '.' END AS sentence FROM supplier, (SELECT unnest([1, 2, 3]) AS i) WHERE i <= greatest(s_suppkey % 4, 1)")
+def sentence_records(s, d):
+    from ledgerline.functions import text as T
+
+    k = F.col("s_suppkey")
+    body = F.when(k % 4 == 0, "").when(k % 4 == 1, "One 1.").when(k % 4 == 2, "One 1. One 2.").otherwise("One 1.\nOne 2. One 3.")
+    return extraction.sentence_records(table(s, d, "supplier").select("s_suppkey", body.alias("t")), "s_suppkey", T.sentences(F.col("t")))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Modified' WHEN 1 THEN 'Added' WHEN 2 THEN 'Removed' WHEN 3 THEN 'Reworded' END AS label, CASE c_custkey % 5 WHEN 0 THEN 'why' WHEN 1 THEN 'so' END AS reason, CASE c_custkey % 5 WHEN 0 THEN 'manual' WHEN 1 THEN 'llm' WHEN 2 THEN 'lexical' END AS method FROM customer")
+def compacted_analyses(s, d):
+    k = F.col("c_custkey") % 5
+    json = F.when(k == 0, '{"label":"Modified","reason":"why","method":"manual"}').when(k == 1, '{"llm":{"label":"Added","reason":"so"}}').when(k == 2, '{"lexical":"Removed"}').when(k == 3, "Reworded").otherwise("{}")
+    return table(s, d, "customer").select("c_custkey", extraction.compacted(json).alias("a")).select("c_custkey", "a.*")
+
+
+@query("SELECT s_suppkey AS k, 'old ' || s_suppkey AS previous_context, 'single_chunk' AS previous_status, CASE WHEN s_suppkey % 2 = 0 THEN 'new ' || s_suppkey ELSE '' END AS current_context, CASE WHEN s_suppkey % 2 = 0 THEN 'single_chunk' ELSE 'id_not_found' END AS current_status FROM supplier")
+def enriched_notes(s, d):
+    p = table(s, d, "supplier")
+    k = F.col("s_suppkey")
+    notes = p.select(k.alias("k"), text_of("P", k).alias("a"), text_of("P", k, " ").alias("b"))
+    of = lambda rows, side, word: rows.select(text_of("P", k).alias("id"), k.alias("position"), text_of(word, k).alias("text"), F.lit(side).alias("side"))
+    records = of(p, "previous", "old ").union(of(p.where("s_suppkey % 2 = 0"), "current", "new "))
+    out = extraction.enriched(notes, records, "k", {"previous": "a", "current": "b"}).drop("a", "b")
+    return out.withColumn("current_context", F.coalesce("current_context", F.lit("")))
