@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.session import cut_lineage
+from ledgerline.session import remove_stored, stored
 
 
 def components(edges: DataFrame, a: str, b: str, checkpoint=None) -> DataFrame:
     """(node, component): the least node that each node is connected with. Every node takes the least label around it
-    and then that label's label, until nothing changes; ``checkpoint`` cuts the lineage of each round."""
-    cut = checkpoint or cut_lineage
+    and then that label's label, until nothing changes. Each round is a table in the shared folder, deleted after the next;
+    a function ``checkpoint`` may cut the lineage of rounds in its own way."""
+    spark = edges.sparkSession
+    cut = (lambda frame: (checkpoint(frame), None)) if checkpoint else stored
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
-    both = cut(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("component")))
+    both, both_at = cut(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    labels, labels_at = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("component")))
     while True:
         seen = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("component").alias("around"))
         lower = labels.join(seen, labels.node == seen.x).select("node", F.col("component").alias("old"), F.least("component", "around").alias("component"))
         up = labels.select(F.col("node").alias("u"), F.col("component").alias("up"))
-        new = cut(lower.join(up, lower.component == up.u).select("node", "old", F.least("component", "up").alias("component")))
-        labels = new.select("node", "component")
-        if new.where("old <> component").isEmpty():
+        new, new_at = cut(lower.join(up, lower.component == up.u).select("node", "old", F.least("component", "up").alias("component")))
+        done = new.where("old <> component").isEmpty()
+        labels, before = new.select("node", "component"), labels_at
+        labels_at = new_at
+        for path in (before, both_at if done else None):
+            if path:
+                remove_stored(spark, path)
+        if done:
             return labels
 
 

@@ -93,6 +93,16 @@ def test_components(spark, tmp_path):
     assert got == {x: find(x) for x in list(root)}
 
 
+def test_components_keep_no_plans(spark, tmp_path):
+    """A round is a table: what comes out is read from one, not from frames that know the plans of the rounds before."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    out = graph.components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long"), "a", "b")
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "parquet" in plan and "LogicalRDD" not in plan
+    assert len(list(tmp_path.glob("*/stored-*"))) == 1  # tables of earlier rounds and edges are deleted
+    assert {r.component for r in out.collect()} == {0}
+
+
 def test_consolidation(spark):
     members = spark.createDataFrame([(1, 10, "previous", True), (1, 20, "current", True), (2, 10, "previous", True), (2, 21, "current", True), (3, 11, "previous", True), (3, 22, "current", True)], "row long, member long, side string, ok boolean")
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "node long, component long")
