@@ -26,9 +26,10 @@ def item_headings(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def table_references(rows: DataFrame, table: str, row: str, text: str, wanted: list[str]) -> DataFrame:
-    """Rows of tables with the item they are under: the last one named, in the row or above it."""
+    """Rows of tables with the item they are under: the last one named, in the row or above it. Rows of one place go by what
+    they name, those without an item first, so that the result never depends on the order in which they are read."""
     own = F.nullif(F.upper(F.regexp_extract(text, r"(?i)\bitem\s+(\d{1,2}[A-C]?)\b", 1)), F.lit(""))
-    w = Window.partitionBy(table).orderBy(row).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(table).orderBy(row, own).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("item", F.last(own, ignorenulls=True).over(w)).where(F.col("item").isin(*wanted))
 
 

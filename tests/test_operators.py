@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ledgerline.functions import ladders, numbers
 from ledgerline.functions import text as X
-from ledgerline.operators import diff, facts, filters, graph, pandas_text, retrieval, windows
+from ledgerline.operators import diff, extraction, facts, filters, graph, pandas_text, retrieval, windows
 from ledgerline.plans import catalog, questions
 from ledgerline.plans.changes import changes
 from ledgerline.sources import markup, stores
@@ -121,6 +121,12 @@ def test_row_labels_pair_within_rows(spark, tmp_path):
     assert sorted(map(tuple, frame.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_table_references_of_ties(spark):
+    rows = [(1, 1, "See Item 7 here"), (1, 1, "page 3"), (1, 1, "item 1a"), (1, 2, "page 4"), (2, 1, "page 3"), (2, 1, "Item 7")]
+    results = {tuple(sorted(map(tuple, extraction.table_references(spark.createDataFrame(order, "t int, o int, x string").coalesce(1), "t", "o", "x", ["7"]).collect()))) for order in (rows, rows[::-1])}
+    assert results == {((1, 1, "See Item 7 here", "7"), (1, 2, "page 4", "7"), (2, 1, "Item 7", "7"))}
+
+
 def test_consolidation(spark):
     members = spark.createDataFrame([(1, 10, "previous", True), (1, 20, "current", True), (2, 10, "previous", True), (2, 21, "current", True), (3, 11, "previous", True), (3, 22, "current", True)], "row long, member long, side string, ok boolean")
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "node long, component long")
